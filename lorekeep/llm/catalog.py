@@ -26,11 +26,31 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op7_exact_dedup, op8_packing)}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.warc import round_trip
+
+    read = round_trip(load(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.secrets import find_secrets
+
+    return find_secrets(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_warc, op7_exact_dedup, op8_packing, op9_secrets)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS low FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+               CASE WHEN low = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN low <> page_id THEN low END AS refers_to FROM f""",
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents),
         g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY h)
