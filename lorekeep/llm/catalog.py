@@ -26,6 +26,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"))
 
 
+#: Two turns that hold the control strings of a template as plain text.
+CONTROL_CASE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.chat import format_windows, read_back
+    from lorekeep.llm.common import stash
+
+    case = spark.createDataFrame(CONTROL_CASE, "conv_id bigint, turn bigint, role string, text string")
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(case)
+    return read_back(stash(format_windows(rows), "windows"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.warc import round_trip
 
@@ -39,7 +52,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_warc, op7_exact_dedup, op8_packing, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat, op4_warc, op7_exact_dedup, op8_packing, op9_secrets)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -34,7 +34,7 @@ END_ID = 1
 #: Prices in tokens: a cut behind a sentence, inside one, and each further sequence.
 SENTENCE, INSIDE, SEQUENCE = 2.0, 12.0, 4.0
 #: Steps inside long sentences at which a cut may fall.
-STEP = 32
+STEP = 64
 #: Tokens that are planned together.
 BLOCK = 1 << 19
 
@@ -53,7 +53,7 @@ def plan(cuts: list[int], prices: list[float], length: int, close: bool) -> list
     at = {p: i for i, p in enumerate(pos)}
     best, back = [0.0] * n, [0] * n
     queue: deque = deque([(0.0, 0, 0)])  # (dp + position, position, index), values ascending
-    powers = [p for p in (1 << k for k in range(12)) if p < length and (p >= 32 or close)]
+    powers = [p for p in (1 << k for k in range(12)) if p < length and (p >= 128 or close)]
     small = length & (length - 1) == 0
     for j in range(1, n):
         here = pos[j]

@@ -9,14 +9,18 @@ token's string) go through the tokenizers library whole.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 
 import numpy as np
 
 #: Pattern of the public byte-level vocabulary (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on which all Unicode versions agree: up to Cyrillic, and general punctuation.
-RARE = "[^\x00-ɀͰ-ͳΑ-Ρα-ωЀ-ѿ‐-‧‰-⁞€]"
-CACHE = 400_000
+#: The same cut for texts without RARE characters, in the standard library's dialect.
+COMMON = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: All but the characters on which dialects and Unicode versions agree: Latin, Greek, Cyrillic, punctuation.
+RARE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɀΑ-Ρα-ωЀ-ѿ‐-‧‰-⁞€]"
+CACHE = 800_000
 
 
 def default_path() -> str:
@@ -50,7 +54,7 @@ class Cached(dict):
         self.special = sorted(special)
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.asarray(self.merge.encode_ordinary(piece), dtype="<u4").tobytes()
+        found = array("I", self.merge.encode_ordinary(piece)).tobytes()
         if len(self) >= CACHE:
             self.clear()
         if len(piece) < 64:
@@ -64,12 +68,8 @@ _OWN: dict[str, tuple] = {}
 def encoder(path: str):
     """str -> ids as bytes; one a worker and path."""
     if path not in _OWN:
-        import re
-
-        import regex
-
         cache = Cached(path)
-        cut, rare = regex.compile(PIECES).findall, re.compile(RARE).search
+        cut, rare = re.compile(COMMON).findall, re.compile(RARE).search
         get = cache.__getitem__
 
         def encode(text: str) -> bytes:
