@@ -14,6 +14,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.quality import score_quality
+
+    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.html_text import extract
+
+    return extract(load(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.exact_dedup import exact_groups
 
@@ -52,7 +64,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat, op4_warc, op7_exact_dedup, op8_packing, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat, op4_warc, op5_quality, op6_html_text, op7_exact_dedup, op8_packing, op9_secrets)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
