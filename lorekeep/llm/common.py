@@ -7,9 +7,11 @@ a task, or exchange small fixed-width rows (digests, hashes, ids).
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,3 +146,100 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         raise RuntimeError("components: no fixed point within the rounds given")
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
+
+
+# -- filters of a fixed size ---------------------------------------------------
+
+#: Bits of the filter that tells which keys may be in a set; 1 MB when broadcast.
+FILTER_BITS = 1 << 22
+
+
+def split_by(df: DataFrame, key: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the members', rows whose key surely is not).
+
+    A filter of FILTER_BITS bits, aggregated from all members and broadcast,
+    decides without a shuffle of df. Its size does not depend on the data; what
+    it lets through wrongly is for the exact join that must follow on the
+    first part.
+    """
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(FILTER_BITS))
+    own = members.select(place.alias("p")).select(F.shiftright("p", 6).cast("int").alias("__word"), F.expr("shiftleft(1L, int(p & 63))").alias("bit"))
+    words = stash(own.groupBy("__word").agg(F.expr("bit_or(bit)").alias("__bits")), "filter")
+    marked = df.withColumn("__place", place).withColumn("__word", F.shiftright("__place", 6).cast("int")).join(F.broadcast(words), "__word", "left")
+    maybe = F.coalesce(F.expr("getbit(__bits, int(__place & 63)) = 1"), F.lit(False))
+    return marked.where(maybe).select(df.columns), marked.where(~maybe).select(df.columns)
+
+
+# -- hashed words ----------------------------------------------------------------
+
+_WIDE = 1024
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_TABLE: list[np.ndarray] = []
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Bijective finaliser of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _places() -> np.ndarray:
+    if not _TABLE:
+        _TABLE.append(np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256 * _WIDE, np.uint64))
+    return _TABLE[0]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, number of words of each text).
+
+    Words are runs of bytes that are not ASCII white space. A word's hash sums
+    a random value for each byte and place; words too long for the table are
+    hashed by BLAKE2.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    word = ~_SPACE[data]
+    before = np.concatenate(([False], word[:-1]))
+    starts = np.flatnonzero(word & ~before)
+    ends = np.flatnonzero(~word & before)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    counts = np.diff(np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes)))))
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    length = ends - starts
+    own = data[word].astype(np.int64) * _WIDE
+    first = np.concatenate(([0], np.cumsum(length)[:-1]))
+    place = np.arange(len(own)) - np.repeat(first, length)
+    long_words = np.flatnonzero(length > _WIDE)
+    if len(long_words):
+        place = np.minimum(place, _WIDE - 1)
+    hashes = np.add.reduceat(_places()[own + place], first) + length.astype(np.uint64)
+    for i in long_words:
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix64(hashes), counts
+
+
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words in one stream of word hashes."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
+    return mix64(out)
+
+
+def chunks(texts: list[bytes | None], size: int = 1 << 20) -> Iterable[list[bytes]]:
+    """Texts in order, null as empty, in lists of about `size` bytes or one text."""
+    part: list[bytes] = []
+    total = 0
+    for t in texts:
+        part.append(t or b"")
+        total += len(part[-1])
+        if total >= size:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
