@@ -51,6 +51,12 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(stash(format_windows(rows), "windows"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorekeep.llm.substrings import dedup_substrings
+
+    return dedup_substrings(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.llm.warc import round_trip
 
@@ -70,11 +76,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents"), size=3, threshold=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat, op4_warc, op5_quality, op6_html_text, op7_exact_dedup, op8_packing, op9_secrets, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_substrings, op4_warc, op5_quality, op6_html_text, op7_exact_dedup, op8_packing, op9_secrets, op10_ngram_jaccard)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op3_substrings": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS g FROM w, unnest(range(1, len(w) - 18)) AS r(i)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM later)),
+        words AS (SELECT doc_id, i AS j, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) AS r(i)),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS s, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept.s, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
     "op10_ngram_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g

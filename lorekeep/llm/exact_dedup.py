@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import LOWER_AZ, SALTS, map_texts, salt_of, stash
+from lorekeep.llm.common import LOWER_AZ, SALTS, map_texts, salt_of, split_by, stash
 
 
 class CuckooIndex:
@@ -122,11 +122,11 @@ class CuckooIndex:
 
 def text_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, digest): SHA-256 of each text after lower-casing A-Z; null is empty."""
+    return map_texts(docs.select(id_col, text_col), text_col, "digest binary", _digest_setup, keep=[id_col])
 
-    def setup():
-        return lambda text: (hashlib.sha256((text or b"").translate(LOWER_AZ)).digest(),)
 
-    return map_texts(docs.select(id_col, text_col), text_col, "digest binary", setup, keep=[id_col])
+def _digest_setup():
+    return lambda text: (hashlib.sha256((text or b"").translate(LOWER_AZ)).digest(),)
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +175,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their columns; one row for each kept id."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(id_col).distinct().withColumnRenamed(id_col, "__keep")
-    first = Window.partitionBy(id_col).orderBy(F.lit(1))
-    joined = docs.join(kept, docs[id_col].eqNullSafe(F.col("__keep"))).drop("__keep")
-    return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    """The documents that stay, with their columns.
+
+    Only rows that may go (by a filter of fixed size) are moved; the rest of
+    the texts stay where they are.
+    """
+    verdicts = stash(exact_groups(docs, id_col, text_col), "verdicts")
+    again = verdicts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+    doubtful = verdicts.where(~F.col("kept")).select(id_col).union(again)
+    maybe, kept = split_by(docs, id_col, doubtful)
+    live = verdicts.where("kept").select(F.col(id_col).alias("__keep"), "text_sha256").distinct()
+    marked = map_texts(maybe.withColumn("__again", F.col(f"`{text_col}`")), "__again", "__digest binary", _digest_setup)
+    joined = marked.join(live, marked[id_col].eqNullSafe(live["__keep"]) & (F.lower(F.hex("__digest")) == F.col("text_sha256")))
+    first = Window.partitionBy(id_col, "__digest").orderBy(F.lit(1))
+    rest = joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(docs.columns)
+    return kept.unionByName(rest)
 
 
 __all__ = ["SALTS", "CuckooIndex", "drop_exact", "exact_groups", "live_digests", "text_digests"]
