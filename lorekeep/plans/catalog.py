@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.operators import graph, retrieval, textops  # noqa: F401
+from lorekeep.operators import graph, retrieval, selection, textops, web  # noqa: F401
 from lorekeep.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
