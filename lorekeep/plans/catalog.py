@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lorekeep.operators import graph, retrieval, selection, textops, web  # noqa: F401
+from lorekeep.operators import graph, logs, maintenance, retrieval, selection, textops, web  # noqa: F401
+from lorekeep.streaming import state  # noqa: F401
 from lorekeep.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
