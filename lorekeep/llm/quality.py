@@ -55,11 +55,12 @@ def passages_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages, number of passages of each text)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     counts = np.maximum(1, -(-sizes // PASSAGE))
-    classes = TABLE[np.frombuffer(b"".join(texts), np.uint8)].astype(np.int64)
+    classes = TABLE[np.frombuffer(b"".join(texts), np.uint8)].astype(np.int32)
     total = int(counts.sum())
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
     doc_at = np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-    own = np.repeat(first, sizes) + (np.arange(len(classes)) - doc_at) // PASSAGE
+    own = (np.repeat(first, sizes) + (np.arange(len(classes)) - doc_at) // PASSAGE).astype(np.int32)
+    del doc_at
     single = np.bincount(own * CLASSES + classes, minlength=total * CLASSES).reshape(total, CLASSES)
     same = own[1:] == own[:-1]
     code = own[1:] * (CLASSES * CLASSES) + classes[:-1] * CLASSES + classes[1:]
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 #: Bytes of text whose passages are encoded together.
-CHUNK = 4 << 20
+CHUNK = 1 << 19
 
 
 def _scores(model: Model, texts: list[bytes | None]) -> list[float]:

@@ -20,7 +20,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 COMMON = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: All but the characters on which dialects and Unicode versions agree: Latin, Greek, Cyrillic, punctuation.
 RARE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɀΑ-Ρα-ωЀ-ѿ‐-‧‰-⁞€]"
-CACHE = 800_000
+CACHE = 300_000
 
 
 def default_path() -> str:
