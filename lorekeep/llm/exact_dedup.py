@@ -184,9 +184,9 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = verdicts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
     doubtful = verdicts.where(~F.col("kept")).select(id_col).union(again)
     maybe, kept = split_by(docs, id_col, doubtful)
-    live = verdicts.where("kept").select(F.col(id_col).alias("__keep"), "text_sha256").distinct()
+    live = verdicts.where("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
     marked = map_texts(maybe.withColumn("__again", F.col(f"`{text_col}`")), "__again", "__digest binary", _digest_setup)
-    joined = marked.join(live, marked[id_col].eqNullSafe(live["__keep"]) & (F.lower(F.hex("__digest")) == F.col("text_sha256")))
+    joined = marked.join(live, marked[id_col].eqNullSafe(live["__keep"]) & (F.lower(F.hex("__digest")) == F.col("__sha")))
     first = Window.partitionBy(id_col, "__digest").orderBy(F.lit(1))
     rest = joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(docs.columns)
     return kept.unionByName(rest)

@@ -194,6 +194,7 @@ def safe_url(url: str | None, page) -> str:
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, arc_version: int = 2) -> DataFrame:
     """Rows (archive string, segment long, archive_bytes binary): the converted archives."""
+    pages = pages.select(id_col, url_col, html_col)
     twins = first_holders(pages, id_col, url_col, html_col, least_bytes)
     source = pages.join(twins, pages[id_col].eqNullSafe(F.col("__id")), "left").select(F.col(id_col).cast("string").alias("page"), F.col(url_col).alias("url"), F.col("refers_to").cast("string").alias("refers_to"), "refers_url", F.col(html_col).alias("__text"))
 
