@@ -15,7 +15,8 @@ one when there are fewer). Two documents link when
    over a query's n-grams bounds the overlap with every member of a cell;
    only cells whose bound reaches what a link needs are opened, and their
    members compared exactly. A cell already connected to the query stays
-   shut.
+   shut. A large group is dealt into blocks, so that a group of near copies
+   that holds a third of all documents meets in no single task.
 
 All steps cover all documents; nothing is capped. Null texts and texts
 without words have empty sets and link with nothing. Repeated ids are
@@ -32,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import LOWER_AZ, chunks, columns_as_bytes, components, gram_hashes, mix64, repeated_only, salt_of, split_by, stash, word_hashes
@@ -129,36 +130,47 @@ class TokenGroups:
         bits = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), wide), axis=1, bitorder="little")
         return bits.sum(axis=0, dtype=np.int64)[: len(self.cells)]
 
-    def add(self, grams: list[int]) -> None:
-        me, own, n = len(self.sets), set(grams), len(grams)
-        self.sets.append(own)
-        self.parent.append(me)
-        self.links.append(0)
+    def linked(self, grams: list[int], root: int | None = None) -> Iterator[tuple[int, int]]:
+        """(set, cell) of a linked set for each connected part that links with the query.
+
+        root: part the query is in already; it is not looked into.
+        """
+        own, n, met = set(grams), len(grams), {root}
+        if not self.cells:
+            return
         low = -(-self.t * n // 100)
-        home = None
-        if self.cells:
-            bound = self.overlaps(grams)
-            # a member has at least `low` n-grams, so a link needs this much in common
-            need = -(-self.t * (n + low) // (100 + self.t))
-            for c in np.argsort(-bound, kind="stable").tolist():
-                if bound[c] < need:
+        bound = self.overlaps(grams)
+        # a linked set has at least `low` n-grams, so a link needs this much in common
+        need = -(-self.t * (n + low) // (100 + self.t))
+        for c in np.argsort(-bound, kind="stable").tolist():
+            if bound[c] < need:
+                return
+            cell = self.cells[c]
+            if self.find(cell[0]) in {self.find(r) for r in met if r is not None}:
+                continue  # a cell's members are connected
+            self.opened += 1
+            for other in sorted(cell, key=lambda i: -self.links[i]):
+                theirs = self.sets[other]
+                if len(theirs) < low:
+                    continue
+                self.compared += 1
+                if len(own & theirs) * (100 + self.t) >= self.t * (n + len(theirs)):
+                    self.links[other] += 1
+                    met.add(self.find(other))
+                    yield other, c
                     break
-                cell = self.cells[c]
-                if self.find(cell[0]) == self.find(me):
-                    continue  # a cell's members are connected already
-                self.opened += 1
-                for other in sorted(cell, key=lambda i: -self.links[i]):
-                    theirs = self.sets[other]
-                    if len(theirs) < low:
-                        continue
-                    self.compared += 1
-                    if len(own & theirs) * (100 + self.t) >= self.t * (n + len(theirs)):
-                        self.links[other] += 1
-                        a, b = sorted((self.find(me), self.find(other)))
-                        self.parent[b] = a
-                        if home is None and len(cell) < CELL:
-                            home = c
-                        break
+
+    def add(self, grams: list[int]) -> None:
+        """Puts a set into a cell it links with, or into a cell of its own."""
+        me = len(self.sets)
+        found = list(self.linked(grams))
+        self.sets.append(set(grams))
+        self.parent.append(me)
+        self.links.append(len(found))
+        for other, _ in found:
+            a, b = sorted((self.find(me), self.find(other)))
+            self.parent[b] = a
+        home = next((c for _, c in found if len(self.cells[c]) < CELL), None)
         if home is None:
             home = len(self.cells)
             self.cells.append([])
@@ -168,33 +180,134 @@ class TokenGroups:
             self.matrix[g] = self.matrix.get(g, 0) | bit
 
 
-def _verify(threshold: int):
+def _within(threshold: int):
+    """Links within each (root, block): rows (doc_id, root, block, sub, links).
+
+    sub is the smallest id of the connected part of the block.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]):
-        group, ids, cells = None, [], None
+        key, ids, groups = None, [], None
 
         def done():
             low: dict[int, int] = {}
             for i, d in enumerate(ids):
-                r = cells.find(i)
+                r = groups.find(i)
                 low[r] = min(low.get(r, d), d)
-            roots = [low[cells.find(i)] for i in range(len(ids))]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["rep", "root"])
+            subs = [low[groups.find(i)] for i in range(len(ids))]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([key[0]] * len(ids), pa.int64()), pa.array([key[1]] * len(ids), pa.int64()), pa.array(subs, pa.int64()), pa.array(groups.links, pa.int64())], names=["doc_id", "root", "block", "sub", "links"])
 
         for batch in batches:
-            for g, d, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != group:
+            for root, block, d, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, block) != key:
                     if ids:
                         yield done()
-                    group, ids, cells = g, [], TokenGroups(threshold)
+                    key, ids, groups = (root, block), [], TokenGroups(threshold)
                 ids.append(d)
-                cells.add(np.frombuffer(grams, np.int64).tolist())
+                groups.add(np.frombuffer(grams, np.int64).tolist())
         if ids:
             yield done()
 
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
+def _with_hubs(threshold: int):
+    """Blocks whose hubs come before the members -> links (a, b) of members with hubs."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        key, hubs = None, []
+        for batch in batches:
+            out = []
+            for root, block, member, d, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, block) != key:
+                    key, hubs = (root, block), []
+                own = np.frombuffer(grams, np.int64)
+                if not member:
+                    hubs.append((d, own))
+                    continue
+                for h, theirs in hubs:
+                    k = len(np.intersect1d(own, theirs, assume_unique=True))
+                    if h != d and k * (100 + threshold) >= threshold * (len(own) + len(theirs)):
+                        out.append((d, h))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _across(threshold: int):
+    """Blocks whose members come before the queries -> links (a, b) of queries with members."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        key, ids, groups = None, [], None
+        for batch in batches:
+            out = []
+            for root, block, asks, d, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, block) != key:
+                    key, ids, groups = (root, block), [], TokenGroups(threshold)
+                grams = np.frombuffer(grams, np.int64).tolist()
+                if asks:
+                    out += [(d, ids[i]) for i, _ in groups.linked(grams)]
+                else:
+                    ids.append(d)
+                    groups.add(grams)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+#: Bytes of n-gram hashes that one block of a large group holds, about.
+BLOCK_BYTES = 4 << 20
+#: Well linked classes of a large group that all its members are compared with first.
+HUBS = 16
+
+
+def _in_blocks(more: DataFrame, held: DataFrame, threshold: int, step) -> DataFrame:
+    """Runs step over each block with its members and more rows, those with second = false first."""
+    members = held.select("root", "block", F.lit(step is _with_hubs).alias("second"), "doc_id", "n", "grams")
+    both = members.unionByName(more).repartition("root", "block").sortWithinPartitions("root", "block", "second", "n", "doc_id")
+    return both.select("root", "block", "second", "doc_id", "grams").mapInArrow(step(threshold), "a bigint, b bigint")
+
+
+def _linked_classes(full: DataFrame, threshold: int, block_bytes: int) -> DataFrame:
+    """(rep, root): connected classes in the groups of candidates (doc_id, n, grams, root).
+
+    A group over block_bytes is dealt into blocks by a hash of the id, and no
+    task holds more than a block. Links within blocks come first, then links
+    of all members with the group's hubs. What is connected to the largest
+    part by then is settled among itself; each of the others asks all blocks.
+    """
+    sizes = full.groupBy("root").agg(F.sum(F.octet_length("grams")).alias("bytes"))
+    large = stash(sizes.where(F.col("bytes") > block_bytes).select("root", F.ceil(F.col("bytes") / block_bytes).cast("bigint").alias("blocks")), "large")
+    count = F.coalesce("blocks", F.lit(1))
+    dealt = full.join(large, "root", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), count))
+    rows = dealt.repartition("root", "block").sortWithinPartitions("root", "block", "n", "doc_id").select("root", "block", "doc_id", "grams")
+    within = stash(rows.mapInArrow(_within(threshold), "doc_id bigint, root bigint, block bigint, sub bigint, links bigint"), "within")
+    if large.isEmpty():
+        return within.select(F.col("doc_id").alias("rep"), F.col("sub").alias("root"))
+
+    inner = within.join(large, "root", "left_anti").select(F.col("doc_id").alias("rep"), F.col("sub").alias("root"))
+    parts = within.join(large, "root")
+    best = parts.groupBy("root", "block").agg(F.max(F.struct("links", "doc_id")).alias("x"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("x")))
+    hub_ids = best.withColumn("k", place).where(F.col("k") <= HUBS).select("root", F.col("x.doc_id").alias("doc_id"))
+    big = full.join(large, "root")
+    every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    hubs = big.join(hub_ids, ["root", "doc_id"], "left_semi").select("root", every_block, F.lit(False).alias("second"), "doc_id", "n", "grams")
+    held = dealt.where("blocks IS NOT NULL")
+    to_hubs = stash(_in_blocks(hubs, held, threshold, _with_hubs), "to_hubs")
+    edges = parts.select(F.col("doc_id").alias("a"), F.col("sub").alias("b")).unionByName(to_hubs)
+    named = parts.select("doc_id", "root").join(components(edges).withColumnRenamed("root", "__root"), F.col("doc_id") == F.col("node"), "left").select("doc_id", parts["root"], F.coalesce("__root", "doc_id").alias("part"))
+    named = stash(named, "parts")
+    main = named.groupBy("root", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
+    open_ids = named.join(main, "root").where("part <> main").select("doc_id")
+    asking = big.join(open_ids, "doc_id", "left_semi").select("root", every_block, F.lit(True).alias("second"), "doc_id", "n", "grams")
+    across = stash(_in_blocks(asking, held, threshold, _across), "across")
+    joined = components(edges.unionByName(across)).withColumnRenamed("root", "__root")
+    outer = parts.select("doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("rep"), F.coalesce("__root", "doc_id").alias("root"))
+    return inner.unionByName(outer)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: id, n_shingles, component_id. threshold in hundredths."""
     sketches = stash(_sketches(docs, id_col, text_col, size, threshold), "sketches")
 
@@ -219,9 +332,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # token-group matrix in each group of candidates
     held_docs, _ = split_by(docs.select(id_col, text_col), id_col, members.select(F.col("node").alias(id_col)))
-    full = _full_sets(held_docs, id_col, text_col, size).join(members.hint("merge"), F.col("doc_id") == F.col("node"))
-    full = full.where(F.col("n") > 0).repartition("root").sortWithinPartitions("root", "n", "doc_id").select("root", "doc_id", "grams")
-    linked = stash(full.mapInArrow(_verify(threshold), "rep bigint, root bigint").groupBy("rep").agg(F.min("root").alias("root")), "linked")
+    full = _full_sets(held_docs, id_col, text_col, size).where(F.col("n") > 0).join(members.hint("merge"), F.col("doc_id") == F.col("node"))
+    full = stash(full.select("root", "doc_id", "n", "grams"), "full")
+    linked = stash(_linked_classes(full, threshold, block_bytes).groupBy("rep").agg(F.min("root").alias("root")), "linked")
 
     named = dealt.join(linked.hint("merge"), "rep", "left").select("digest", "salt", F.coalesce("root", "rep").alias("root"))
     out = keyed.join(named.hint("merge"), ["digest", "salt"], "left")

@@ -52,11 +52,11 @@ def rows_of(rng):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("size", "threshold"), [(3, 90), (5, 80), (2, 60)])
-def test_against_brute_force(spark, size, threshold):
+@pytest.mark.parametrize(("size", "threshold", "block_bytes"), [(3, 90, 1 << 22), (5, 80, 1 << 22), (2, 60, 1 << 22), (3, 80, 3000), (2, 60, 1500)])
+def test_against_brute_force(spark, size, threshold, block_bytes):
     rows = rows_of(random.Random(size))
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(df, size=size, threshold=threshold).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(df, size=size, threshold=threshold, block_bytes=block_bytes).collect()}
     assert got == brute(rows, size, threshold)
 
 
