@@ -114,10 +114,11 @@ def repeated_only(rows: DataFrame, key: str, least: int = 2) -> DataFrame:
     """Rows whose key stands on at least `least` rows, with that count as df.
 
     Counts combine map-side; a key on very many rows is one row of the counts
-    per task, and the join back is an ordinary one whose skewed partitions
-    the adaptive planner may split.
+    per task. They are written down, so that both sides of the join back are
+    plain exchanges and the adaptive planner can split the partition of a
+    frequent key.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
+    counts = stash(rows.groupBy(key).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least), "counts")
     return rows.join(counts.hint("merge"), key)
 
 
