@@ -232,7 +232,7 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def chunks(texts: list[bytes | None], size: int = 1 << 20) -> Iterable[list[bytes]]:
+def chunks(texts: list[bytes | None], size: int = 1 << 18) -> Iterable[list[bytes]]:
     """Texts in order, null as empty, in lists of about `size` bytes or one text."""
     part: list[bytes] = []
     total = 0
