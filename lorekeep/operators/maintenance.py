@@ -149,6 +149,6 @@ def edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def edit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EDT-OVERLAP: edits of a file that touch the same lines are refused."""
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1").selectExpr("l_orderkey file", "l_linenumber edit", "l_partkey % 90 a", "l_partkey % 90 + l_suppkey % 7 b")
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey file", "l_linenumber edit", "l_partkey % 90 a", "l_partkey % 90 + l_suppkey % 7 b")
     x, y = e.selectExpr("file", "edit first_edit", "a xa", "b xb"), e.selectExpr("file", "edit second_edit", "a ya", "b yb")
     return x.join(y, "file").where("first_edit < second_edit AND xa <= yb AND ya <= xb").select("file", "first_edit", "second_edit").distinct()

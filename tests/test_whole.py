@@ -59,3 +59,10 @@ def test_path_over_every_row(spark, small, li):
         node, d = path[-1]
         path.append((min(a for a, b in both if b == node and depth.get(a) == d - 1), d - 1))
     assert out(spark, small, "shortest_path") == sorted(path)
+
+
+def test_edits_of_every_file(spark, small, li):
+    e = [(o, n, p % 90, p % 90 + s % 7) for o, n, s, p in li]
+    want = {(f, x, y) for f, x, a, b in e for g, y, c, d in e if f == g and x < y and a <= d and c <= b}
+    assert any(f % 10 != 1 for f, _, _ in want)
+    assert out(spark, small, "edit_overlap") == sorted(want)
