@@ -246,7 +246,7 @@ _FSQL = rf"""WITH {FILES_SQL}, {_QSQL},
 
 def _fielded(spark: SparkSession, sf_dir: str):
     f = files(spark, sf_dir)
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(tx.words(F.col("text")), 1, 4))).alias("term"))
+    q = question_terms(table(spark, sf_dir, "benchmark"))
     hd = f.select("file_id", tx.words(F.split("text", "\n")[0]).alias("name"), tx.words(F.col("text")).alias("body"))
     st = hd.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size("name")), F.lit(1.0)).alias("an"), F.greatest(F.avg(F.size("body")), F.lit(1.0)).alias("ab"))
     vocab = q.select("term").distinct()
@@ -329,7 +329,7 @@ def profile_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def web_bm25f(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-WEB: titles at three times the weight of prose, k1 = 1.2, b = 0.5."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(tx.words(F.col("text")), 1, 6))).alias("term"))
+    q = question_terms(table(spark, sf_dir, "benchmark"))
     p = table(spark, sf_dir, "pages").select("page_id", tx.words(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"), tx.words(F.regexp_replace("html", "<[^>]*>", " ")).alias("b"))
     length = p.select("page_id", (3.0 * F.size("t") + F.size("b")).alias("l")).where("l > 0")
     st = length.agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("al"))

@@ -66,3 +66,40 @@ def test_edits_of_every_file(spark, small, li):
     want = {(f, x, y) for f, x, a, b in e for g, y, c, d in e if f == g and x < y and a <= d and c <= b}
     assert any(f % 10 != 1 for f, _, _ in want)
     assert out(spark, small, "edit_overlap") == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def asked(tmp_path_factory):
+    """A question whose only word found in documents and pages is its tenth."""
+    d = tmp_path_factory.mktemp("asked")
+    put = lambda name, **c: pq.write_table(pa.table(c), f"{d}/{name}.parquet")
+    put("benchmark", item_id=[1], text=["one two three four five six seven eight nine zebra One"])
+    put("documents", doc_id=[1, 2, 3], text=["Zebra\nzebra herd", "plain\ngrass", "other\nzebra"], lang=["en"] * 3, source=["src1"] * 3)
+    put("pages", page_id=[1, 2], html=["<title>zebra</title><p>herd", "<title>x</title><p>y"])
+    return str(d)
+
+
+def test_whole_questions(spark, asked):
+    got = {name: {tuple(r)[1]: r for r in QUERIES[name](spark, asked).collect()} for name in ("bm25f_names_body", "coverage_multiplier", "web_bm25f")}
+    assert set(got["bm25f_names_body"]) == {1, 3} and got["bm25f_names_body"][1].rank == 1
+    assert {k: r.multiplier for k, r in got["coverage_multiplier"].items()} == {1: 3.0}
+    assert set(got["web_bm25f"]) == {1}
+
+
+def test_whole_questions_against_sql(spark, sf):
+    """The registered SQL with its list_slice taken out."""
+    import re
+
+    import duckdb
+
+    from lorekeep.plans.catalog import ORACLE_SQL
+
+    con = duckdb.connect()
+    for t in ("benchmark", "documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name in ("bm25f_names_body", "coverage_multiplier", "web_bm25f"):
+        sql = re.sub(r"list_slice\((regexp_extract_all\(lower\(text\), '[^']*'\)), 1, [46]\)", r"\1", ORACLE_SQL[name])
+        df = QUERIES[name](spark, sf)
+        want = con.execute(sql).to_arrow_table().select(df.columns).to_pylist()
+        key = lambda r: tuple(f"{v:.6g}" if isinstance(v, float) else v for v in r)
+        assert sorted(key(tuple(r)) for r in df.collect()) == sorted(key(tuple(r.values())) for r in want)
