@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.graph import cut
 from lorekeep.plans.registry import query
 from lorekeep.sources.tables import table
 
@@ -164,10 +165,22 @@ def injection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interleave_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WEB-INTERLEAVE: two ranked lists in turn, each url once (lists of a page of results)."""
     p = table(spark, sf_dir, "pages")
-    a = p.where("page_id < 30").select(F.col("page_id").alias("id"), "url", (F.row_number().over(Window.orderBy("page_id")) * 2).alias("pos"))
-    b = p.where("page_id < 40").select((F.col("page_id") + 1000).alias("id"), "url", (F.row_number().over(Window.orderBy(F.desc("page_id"))) * 2 + 1).alias("pos"))
-    first = a.union(b).withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).where("r = 1")
-    return first.select("id", "url", F.row_number().over(Window.orderBy("pos")).alias("place"))
+    r = cut(ranked(p.select("page_id", "url"), "page_id", "url"))
+    n = r.agg(F.count(F.lit(1)).alias("n"))
+    a = r.select(F.col("page_id").alias("id"), "url", (F.col("rank") * 2).alias("pos"))
+    b = r.crossJoin(F.broadcast(n)).select((F.col("page_id") + 1000).alias("id"), "url", ((F.col("n") + 1 - F.col("rank")) * 2 + 1).alias("pos"))
+    first = a.union(b).groupBy("url").agg(F.min(F.struct("pos", "id")).alias("x")).select("x.id", "url", "x.pos")
+    return ranked(first, "pos").select("id", "url", F.col("rank").cast("int").alias("place"))
+
+
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """rank from 1 by the order's columns: ranges dealt to tasks, each beginning behind the rows of those before it."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    before = counts.select(F.col("part").alias("p"), "k")
+    offset = counts.select("part").join(F.broadcast(before), F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("rank", within).join(F.broadcast(offset), "part").withColumn("rank", F.col("rank") + F.col("offset")).drop("part", "offset")
 
 
 WEBQ = ["TypeError cannot read property", "github repo for parser", "numpy library docs", "what is entropy", "best tea shops"]

@@ -103,3 +103,13 @@ def test_whole_questions_against_sql(spark, sf):
         want = con.execute(sql).to_arrow_table().select(df.columns).to_pylist()
         key = lambda r: tuple(f"{v:.6g}" if isinstance(v, float) else v for v in r)
         assert sorted(key(tuple(r)) for r in df.collect()) == sorted(key(tuple(r.values())) for r in want)
+
+
+def test_interleave_every_page(spark, tmp_path):
+    urls = [f"u{i * 7 % 83}" for i in range(120)]
+    pq.write_table(pa.table({"page_id": pa.array(range(120), pa.int64()), "url": urls}), f"{tmp_path}/pages.parquet")
+    seen = {}
+    for i in range(120):
+        for page, key in ((i, i), (119 - i, 1119 - i)):
+            seen.setdefault(urls[page], key)
+    assert sorted(out(spark, str(tmp_path), "interleave_dedup"), key=lambda r: r[2]) == [(k, u, n) for n, (u, k) in enumerate(seen.items(), 1)]
