@@ -179,7 +179,7 @@ BIN = 32
 
 def _spans(spark: SparkSession, sf_dir: str):
     spans = table(spark, sf_dir, "orders").selectExpr("o_orderkey sym", "o_custkey file", "(o_orderkey % 50) * 4 first", "(o_orderkey % 50) * 4 + 10 + o_orderkey % 60 last")
-    marks = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").selectExpr("l_orderkey mark", "l_suppkey file", "l_partkey % 240 line")
+    marks = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber mark", "l_suppkey file", "l_partkey % 240 line")
     return marks, spans
 
 
@@ -198,9 +198,10 @@ def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks, spans = _spans(spark, sf_dir)
     binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.col("last") / BIN))))
     hunks = marks.selectExpr("mark", "file", "line a", "line + 6 b").withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor(F.col("b") / BIN))))
-    h = hunks.join(binned, ["file", "bin"]).where("first <= b AND last >= a").select("mark", "sym", "first", "last").distinct()
-    i = h.select(F.col("mark").alias("m"), F.col("sym").alias("s"), F.col("first").alias("f"), F.col("last").alias("l"))
-    holds = (F.col("m") == F.col("mark")) & (F.col("s") != F.col("sym")) & (F.col("f") >= F.col("first")) & (F.col("l") <= F.col("last")) & (F.col("l") - F.col("f") < F.col("last") - F.col("first"))
+    # (mark, file, a) is the hunk: order and line number do not tell all rows apart
+    h = hunks.join(binned, ["file", "bin"]).where("first <= b AND last >= a").select("mark", "file", "a", "sym", "first", "last").distinct()
+    i = h.select(F.col("mark").alias("m"), F.col("file").alias("g"), F.col("a").alias("o"), F.col("sym").alias("s"), F.col("first").alias("f"), F.col("last").alias("l"))
+    holds = (F.col("m") == F.col("mark")) & (F.col("g") == F.col("file")) & (F.col("o") == F.col("a")) & (F.col("s") != F.col("sym")) & (F.col("f") >= F.col("first")) & (F.col("l") <= F.col("last")) & (F.col("l") - F.col("f") < F.col("last") - F.col("first"))
     return h.join(i, holds, "left_anti").select("mark", "sym").distinct()
 
 
@@ -211,7 +212,7 @@ def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-ASOF: the last segment at or before each position: union, sort and carry forward."""
     m = table(spark, sf_dir, "orders").selectExpr("o_custkey script", "o_orderkey col", "o_orderpriority name")
-    q = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").selectExpr("l_orderkey * 8 + l_linenumber query_id", "l_partkey % 150 + 1 script", "l_orderkey col")
+    q = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber query_id", "l_partkey % 150 + 1 script", "l_orderkey col")
     return asof(q, m)
 
 

@@ -204,7 +204,7 @@ def changed_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-CHANGED: outside callers of touched symbols."""
     li = table(spark, sf_dir, "lineitem")
     touched = li.where("l_orderkey % 50 = 1").select(F.col("l_partkey").alias("sym")).distinct()
-    calls = li.where("l_linenumber = 1").selectExpr("l_suppkey caller", "l_partkey sym").distinct()
+    calls = li.selectExpr("l_suppkey caller", "l_partkey sym").distinct()
     return calls.join(touched, "sym", "left_semi").groupBy("caller").agg(F.count(F.lit(1)).alias("touched"))
 
 

@@ -113,3 +113,43 @@ def test_interleave_every_page(spark, tmp_path):
         for page, key in ((i, i), (119 - i, 1119 - i)):
             seen.setdefault(urls[page], key)
     assert sorted(out(spark, str(tmp_path), "interleave_dedup"), key=lambda r: r[2]) == [(k, u, n) for n, (u, k) in enumerate(seen.items(), 1)]
+
+
+def spans():
+    return [(k, k * 7 % 90 + 1, k % 50 * 4, k % 50 * 4 + 10 + k % 60) for k in range(1, 400)]
+
+
+def test_marks_of_every_row(spark, small, li):
+    marks = {(o * 8 + n, s, p % 240) for o, n, s, p in li}
+    hit = {m: [(b - a, k) for k, f, a, b in spans() if f == m[1] and a <= m[2] <= b] for m in marks}
+    assert out(spark, small, "callers_innermost") == sorted((*m, min(x)[1]) for m, x in hit.items() if x)
+    want = set()
+    for m, f, a in marks:
+        h = [(k, x, y) for k, g, x, y in spans() if g == f and x <= a + 6 and y >= a]
+        want |= {(m, k) for k, x, y in h if not any(j != k and u >= x and v <= y and v - u < y - x for j, u, v in h)}
+    assert out(spark, small, "hunk_overlap") == sorted(want)
+
+
+def test_positions_of_every_row(spark, small, li):
+    want = []
+    for o, n, _, p in li:
+        below = [k for k in range(1, 400) if k * 7 % 90 + 1 == p % 150 + 1 and k <= o]
+        want.append((o * 8 + n, p % 150 + 1, o, max(below, default=None), f"n{max(below)}" if below else None))
+    assert sorted(map(repr, out_rows(spark, small, "asof_mapping"))) == sorted(map(repr, want))
+
+
+def out_rows(spark, small, name):
+    return [tuple(r) for r in QUERIES[name](spark, small).collect()]
+
+
+def test_links_of_every_row(spark, small, li):
+    links = {(s, p) for _, _, s, p in li}
+    of = {s: {p for t, p in links if t == s} for s, _ in links}
+    d1 = {s for s in of if 97 in of[s]}
+    near = {p for s in d1 for p in of[s]}
+    d2 = {s for s in of if of[s] & near} - d1
+    want = sorted((s, round((4.0 if s in d1 else 1.5) / (1 + 0.15 * len(of[s])), 6)) for s in d1 | d2)
+    assert out(spark, small, "test_selection") == want
+    touched = {p for o, _, _, p in li if o % 50 == 1}
+    counts = {s: len(of[s] & touched) for s in of}
+    assert out(spark, small, "changed_callers") == sorted((s, k) for s, k in counts.items() if k)
