@@ -2,20 +2,22 @@
 
 A conversation's rows, by turn, become windows of formatted text. The prefix
 sums of the turns' tokens choose turn-aligned spans: a window takes as many
-new turns as the budget allows beside the system turn, which every window
-retains, and a limited history of turns already shown. Only assistant turns
+new turns as the budget allows beside the system turns so far, which every
+later window retains whatever their length (equal ones once), and a limited
+history of turns already shown. Only assistant turns
 that are new in a window stand under its loss mask, so each is a target once.
 
 Control strings inside texts are escaped: a backslash is put behind the first
 character of a control string, before any backslashes already there; reading
 takes one away. Windows never cut a turn: one that is over the budget by
-itself stands in a window marked over_budget.
+itself, or with the system turns, stands in a window marked over_budget.
 
 Null texts and roles are empty; null conversation ids form one conversation;
 null turns come first. Rows with equal turns are ordered by role, then text.
 Repeated rows are turns of their own. An empty table gives no windows. Extra
 columns are not carried. A conversation streams through its task turn by
-turn: memory holds a window and the history, never the conversation.
+turn: memory holds a window, the history and the system turns, never the
+conversation.
 """
 
 from __future__ import annotations
@@ -58,19 +60,18 @@ class Windows:
 
     def __init__(self, conv, budget: int, history: int):
         self.conv, self.budget, self.history = conv, budget, history
-        self.system: tuple | None = None  # the turn that every window retains
+        self.system: dict[str, tuple] = {}  # by text, the turns that every later window retains
+        self.held = 0  # their tokens
         self.before: list[tuple] = []  # turns shown, newest last, within the history's tokens
         self.new: list[tuple] = []
         self.sums = [0]  # prefix sums of the new turns' tokens
         self.number = 0
 
     def _repeated(self) -> list[tuple]:
-        if not self.number:
-            return []
-        return ([self.system] if self.system else []) + self.before
+        return [*self.system.values(), *self.before]
 
     def _taken(self) -> int:
-        return sum(t[2] for t in self._repeated())
+        return self.held + sum(t[2] for t in self.before)
 
     def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
         turn = (role, text, tokens)
@@ -92,9 +93,11 @@ class Windows:
             at += len(out)
         total = self._taken() + self.sums[-1]
         row = (self.conv, self.number, "".join(parts), spans, len(repeated), len(self.new), total, total > self.budget)
-        if not self.number and self.new[0][0] == "system" and self.new[0][2] <= self.budget // 2:
-            self.system = self.new[0]
-        shown = self.before + (self.new[1:] if self.system is self.new[0] else self.new)
+        for turn in self.new:
+            if turn[0] == "system" and turn[1] not in self.system:
+                self.system[turn[1]] = turn
+                self.held += turn[2]
+        shown = self.before + [t for t in self.new if t[0] != "system"]
         self.before, used = [], 0
         for turn in reversed(shown):
             used += turn[2]

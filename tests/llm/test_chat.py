@@ -49,3 +49,19 @@ def test_round_trip(spark, sf):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert read_back(format_windows(df)).count() == 0
+
+
+def test_every_later_window_retains_the_system_turns(spark):
+    rows = [(1, 0, "system", "long " * 2000)] + [(1, i, ("user", "assistant")[i % 2], f"turn {i} " + "word " * 50) for i in range(1, 8)]
+    rows += [(2, i, ("user", "assistant")[i % 2], f"turn {i} " + "word " * 50) for i in range(4)] + [(2, 4, "system", "rule")]
+    rows += [(2, i, ("user", "assistant")[i % 2], f"turn {i} " + "word " * 50) for i in range(5, 12)] + [(2, 12, "system", "rule"), (2, 13, "system", "other")] + [(2, i, "user", f"turn {i} " + "word " * 50) for i in range(14, 18)]
+    check(spark, rows)
+    check(spark, rows, budget=150, history=40)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    seen = {1: [], 2: []}
+    for w in sorted(format_windows(df, budget=150, history=40).collect(), key=lambda w: (w.conv_id, w.window_no)):
+        turns = parse(w.formatted)
+        assert [x for r, x in turns[: w.n_repeated] if r == "system"] == seen[w.conv_id]
+        assert w.over_budget or w.conv_id == 2
+        seen[w.conv_id] += [x for r, x in turns[w.n_repeated :] if r == "system" and x not in seen[w.conv_id]]
+    assert [len(x) for x in seen.values()] == [1, 2]
