@@ -7,9 +7,12 @@ a task, or exchange small fixed-width rows (digests, hashes, ids).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
+import re
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,30 +25,69 @@ LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder of its own;
+    a cluster must name one, since no folder of one machine is shared.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "/tmp/checkpoints/lorekeep"  # unset only in local tests
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "/tmp/checkpoints/lorekeep"
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+#: What an Arrow batch may hold, unless the session says otherwise.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers; a session's own settings stay."""
+    have = spark.conf.getAll
+    for k, v in BATCH.items():
+        if k not in have:
+            spark.conf.set(k, v)
+
+
+#: Folders of the tables written so far, by scope, innermost last.
+_SCOPES: list[list[str]] = [[]]
+
+
+def stash(df: DataFrame, label: str, scope: int = -1) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
     Cuts the lineage: a lost executor costs no recomputation of what stands
-    above. The table goes when the driver ends.
+    above. The table goes when the scope it is written in ends, at the latest
+    with the driver.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
+    _SCOPES[scope].append(path.rsplit("/", 1)[0])
     atexit.register(_drop, spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope of tables; what it yields writes one that outlives the scope."""
+    bounded(spark)
+    _SCOPES.append([])
+    outer = len(_SCOPES) - 2
+    try:
+        yield lambda df, label: stash(df, label, outer)
+    finally:
+        for path in _SCOPES.pop():
+            _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -55,8 +97,38 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like the given one that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def tidied(run: Callable) -> Callable:
+    """A map over batches that gives unused memory back to the system when its task ends.
+
+    Workers stay for later tasks; without this each keeps the most it ever held.
+    """
+
+    def wrapped(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def columns_as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    column = batch.column(batch.schema.get_field_index(name))
+    return bytes_of(batch.column(batch.schema.get_field_index(name)))
+
+
+def bytes_of(column: pa.Array) -> list[bytes | None]:
     if pa.types.is_string(column.type):
         column = column.cast(pa.binary())
     elif pa.types.is_large_string(column.type):
@@ -64,6 +136,24 @@ def columns_as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.to_pylist()
 
 
+def text_value(column: str, kind: str, setup: Callable[[], Callable[[list[bytes | None]], list]]):
+    """A column made of each text's UTF-8 bytes; the rest of the row stays in the JVM.
+
+    setup runs once a task and returns a function of a batch of texts.
+    """
+    out = arrow_type(T._parse_datatype_string(kind))
+
+    def made(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fn = setup()
+        for texts in columns:
+            yield pa.array(fn(bytes_of(texts)), type=out)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidied(made)(columns)
+
+    return F.arrow_udf(run, kind)(F.col(f"`{column}`"))
+
+
 def map_texts(df: DataFrame, text_col: str, fields: str, setup: Callable[[], Callable[[bytes | None], tuple]], keep: list[str] | None = None, drop_when: int | None = None) -> DataFrame:
     """Adds the fields (DDL) that a function makes of each text's UTF-8 bytes.
 
@@ -74,15 +164,16 @@ def map_texts(df: DataFrame, text_col: str, fields: str, setup: Callable[[], Cal
     new = T._parse_datatype_string(fields)
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name not in new.names]
     schema = T.StructType(kept + new.fields)
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias("__text"))
-    arrow_types = [_arrow(f.dataType) for f in new.fields]
+    bounded(df.sparkSession)
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias(fresh("__text", df)))
+    arrow_types = [arrow_type(f.dataType) for f in new.fields]
     names = [f.name for f in schema.fields]
     n_kept = len(kept)
 
     def run(batches: Iterable[pa.RecordBatch]):
         fn = setup()
         for batch in batches:
-            made = [fn(t) for t in columns_as_bytes(batch, "__text")]
+            made = [fn(t) for t in bytes_of(batch.column(n_kept))]
             columns = [batch.column(i) for i in range(n_kept)]
             columns += [pa.array([m[i] for m in made], type=t) for i, t in enumerate(arrow_types)]
             out = pa.RecordBatch.from_arrays(columns, names=names)
@@ -90,14 +181,14 @@ def map_texts(df: DataFrame, text_col: str, fields: str, setup: Callable[[], Cal
                 out = out.filter(pa.array([not m[drop_when] for m in made], type=pa.bool_()))
             yield out
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow(kind.elementType))
+        return pa.list_(arrow_type(kind.elementType))
     if isinstance(kind, T.StructType):
-        return pa.struct([pa.field(f.name, _arrow(f.dataType)) for f in kind.fields])
+        return pa.struct([pa.field(f.name, arrow_type(f.dataType)) for f in kind.fields])
     simple = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.DoubleType: pa.float64(), T.BinaryType: pa.binary()}
     return simple[type(kind)]
 
@@ -122,53 +213,59 @@ def repeated_only(rows: DataFrame, key: str, least: int = 2) -> DataFrame:
     return rows.join(counts.hint("merge"), key)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) edges: rows (node, root), root the smallest node.
 
-    Alternates large-star and small-star steps; each round is a written table,
-    and none gathers more than the links of a node in a grouped minimum.
+    Alternates large-star and small-star steps until nothing changes, which
+    takes O(log^2 n) rounds at most: no step makes a link point higher, and
+    one that is not the last makes some link point lower. Minima combine
+    map-side and are written down before they are joined back, so that both
+    sides of such a join are plain exchanges and the adaptive planner can split
+    the partition of a node with very many links.
     """
-    pairs = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    for _ in range(rounds):
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stash(small_low.select("u", F.col("m").alias("v")).union(small).where("u != v").distinct(), "edges")
-        # done when every node points at one root and no root points further
-        open_links = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        several = after.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        done = open_links.isEmpty() and several.isEmpty()
-        pairs = after
-        if done:
-            break
-    else:
-        raise RuntimeError("components: no fixed point within the rounds given")
-    nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
-
-
-# -- filters of a fixed size ---------------------------------------------------
-
-#: Bits of the filter that tells which keys may be in a set; 1 MB when broadcast.
-FILTER_BITS = 1 << 22
+    spark = edges.sparkSession
+    with scratch(spark) as keep:
+        pairs = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+        while True:
+            both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+            large = stash(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+            small_low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+            small = large.join(small_low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            pairs = stash(small_low.select("u", F.col("m").alias("v")).union(small).where("u != v").distinct(), "edges")
+            # done when every node points at one root and no root points further
+            several = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            if several.isEmpty() and pairs.select(F.col("v").alias("u")).distinct().join(pairs.select("u").distinct(), "u").isEmpty():
+                break
+        nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return keep(nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct()), "components")
+
+
+# -- filters of a bounded size ---------------------------------------------------
+
+#: Bits a member and most bits of the filter that tells which keys may be in a set; 4 MB of bits when broadcast.
+FILTER_SHARE, FILTER_BITS = 12, 1 << 25
 
 
 def split_by(df: DataFrame, key: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be among the members', rows whose key surely is not).
 
-    A filter of FILTER_BITS bits, aggregated from all members and broadcast,
-    decides without a shuffle of df. Its size does not depend on the data; what
-    it lets through wrongly is for the exact join that must follow on the
-    first part.
+    A filter aggregated from all members and broadcast decides without a
+    shuffle of df. It has FILTER_SHARE bits for each member as counted, but
+    FILTER_BITS at most, so the broadcast is bounded; where members are so
+    many that the filter fills up, more rows come through. What it lets
+    through wrongly is for the exact join that must follow on the first part.
     """
-    place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(FILTER_BITS))
-    own = members.select(place.alias("p")).select(F.shiftright("p", 6).cast("int").alias("__word"), F.expr("shiftleft(1L, int(p & 63))").alias("bit"))
-    words = stash(own.groupBy("__word").agg(F.expr("bit_or(bit)").alias("__bits")), "filter")
-    marked = df.withColumn("__place", place).withColumn("__word", F.shiftright("__place", 6).cast("int")).join(F.broadcast(words), "__word", "left")
-    maybe = F.coalesce(F.expr("getbit(__bits, int(__place & 63)) = 1"), F.lit(False))
-    return marked.where(maybe).select(df.columns), marked.where(~maybe).select(df.columns)
+    own = stash(members.select(F.xxhash64(F.col(f"`{key}`")).alias("x")), "members")
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (FILTER_SHARE * own.count()).bit_length()))
+    word, bit, mine = (fresh(x, df) for x in ("__word", "__bits", "__place"))
+    place = F.pmod(F.col("x"), F.lit(bits))
+    set_bits = own.select(F.shiftright(place, 6).cast("int").alias(word), F.pmod(place, F.lit(64)).cast("int").alias("k"))
+    words = stash(set_bits.groupBy(word).agg(F.expr("bit_or(shiftleft(1L, k))").alias(bit)), "filter")
+    marked = df.withColumn(mine, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(bits))).withColumn(word, F.shiftright(F.col(mine), 6).cast("int")).join(F.broadcast(words), word, "left")
+    maybe = F.coalesce(F.expr(f"getbit({bit}, int({mine} & 63)) = 1"), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(maybe).select(columns), marked.where(~maybe).select(columns)
 
 
 # -- hashed words ----------------------------------------------------------------

@@ -1,45 +1,53 @@
-"""N-gram Jaccard join on a token-group matrix, exact.
+"""N-gram Jaccard join on a token-group matrix, exact up to 64-bit hashes.
 
 A document's set holds the hashes of its distinct word n-grams (all words as
 one when there are fewer). Two documents link when
 100 * intersection >= threshold * union.
 
-1. Documents with equal sets form a class; the smallest id stands for it.
+1. Documents with equal sets form a class, whose key is a hash of the set.
 2. A linked pair shares at least l n-grams within the prefixes (the smallest
    hashes) of both sets. N-grams that no second prefix holds link nothing: a
    class with too few others is done. Of the rest, the rarest prefix n-grams,
    in number such that linked classes share one, partition the classes into
    groups of candidates.
 3. In a group, similar classes gather in small cells. The token-group matrix
-   holds for each n-gram the cells whose token union has it, as bits. Its sum
-   over a query's n-grams bounds the overlap with every member of a cell;
-   only cells whose bound reaches what a link needs are opened, and their
-   members compared exactly. A cell already connected to the query stays
-   shut. A large group is dealt into blocks, so that a group of near copies
-   that holds a third of all documents meets in no single task.
-
-All steps cover all documents; nothing is capped. Null texts and texts
-without words have empty sets and link with nothing. Repeated ids are
-documents of one class only if their sets agree; otherwise an id's links are
-those of any of its rows. Ties need no rule: links are symmetric and the
-smallest id names a component. Empty tables give empty results. Extra columns
-are not carried.
+   holds for each n-gram the cells whose token union has it. Its sum over a
+   query's n-grams bounds the overlap with every member of a cell; only cells
+   whose bound reaches what a link needs are opened, and their members
+   compared exactly. A cell already connected to the query stays shut.
+4. A group too large for a task is dealt into blocks by a hash. Links within
+   blocks and with the group's best linked classes (its hubs) connect most of
+   it. What they leave unconnected is looked at under each rare n-gram on its
+   own: only n-grams whose classes lie in several connected parts are opened,
+   with a token-group matrix again.
+
+N-grams and classes are told apart by 64-bit hashes (classes of 10^10
+documents collide with a chance of about one in a hundred thousand each); all
+else is exact. All steps cover all documents; nothing is capped. Null texts
+and texts without words have empty sets and link with nothing. Null ids count
+as smaller than all others. Rows are documents of their own even where they
+repeat an id: each row's component is that of its text. Ties need no rule:
+links are symmetric and the smallest id names a component. Empty tables give
+empty results. Extra columns are not carried. Ids are integers, or strings
+that hold one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import LOWER_AZ, chunks, columns_as_bytes, components, gram_hashes, mix64, repeated_only, salt_of, split_by, stash, word_hashes
+from lorekeep.llm.common import LOWER_AZ, chunks, columns_as_bytes, components, fresh, gram_hashes, mix64, repeated_only, salt_of, scratch, split_by, stash, tidied, word_hashes
 
 #: Most classes of a cell.
 CELL = 16
+#: Stands for a null id; smaller than all others.
+NULL_ID = -(1 << 63)
 
 
 def least_overlap(n: int, threshold: int) -> int:
@@ -73,46 +81,73 @@ def sets_of(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
             at += n
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
-    """(doc_id, n, digest, prefix): set size, set digest (null if empty), prefix hashes."""
+def _with_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
+
+
+def _key(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _sketches(rows: DataFrame, size: int, threshold: int) -> DataFrame:
+    """(doc_id, n, key, prefix): set size, hash of the set (null if empty), prefix hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            n, digests, prefixes = [], [], []
+            n, keys, prefixes = [], [], []
             for s in sets_of(columns_as_bytes(batch, "__text"), size):
                 n.append(len(s))
-                digests.append(hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None)
-                prefixes.append(s[: prefix_length(len(s), threshold)].view(np.int64))
+                keys.append(_key(s) if len(s) else None)
+                prefixes.append(s[: prefix_length(len(s), threshold)].view(np.int64).copy())
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n", "key", "prefix"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as __text").mapInArrow(run, "doc_id bigint, n bigint, digest binary, prefix array<bigint>")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, n bigint, key bigint, prefix array<bigint>")
 
 
-def _full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def _full_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(key, n, grams) of (doc_id, __text) rows."""
+
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            made = [s.tobytes() for s in sets_of(columns_as_bytes(batch, "__text"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) // 8 for m in made], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n", "grams"])
+            made = [(_key(s), len(s), s.tobytes()) for s in sets_of(columns_as_bytes(batch, "__text"), size)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "n", "grams"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as __text").mapInArrow(run, "doc_id bigint, n bigint, grams binary")
+    return rows.select("doc_id", "__text").mapInArrow(tidied(run), "key bigint, n bigint, grams binary")
 
 
 class TokenGroups:
-    """Cells of similar sets and the matrix from n-grams to cells.
-
-    Sets come in ascending size. find() returns the union-find root over the
-    sets given so far.
+    """Cells of similar sets, and the sparse matrix from n-grams to cells.
+
+    Takes the sorted sets of a block; add() puts one after the other, in
+    ascending size, into cells. An n-gram on a single set of the block is in
+    no overlap and needs no row, unless sets from outside are looked up too
+    (outside=True). The matrix is one array: a row has room for as many cells
+    as sets hold its n-gram. Memory is a few numbers for each n-gram of the
+    block, however many cells there are.
     """
 
-    def __init__(self, threshold: int):
+    def __init__(self, threshold: int, sets: list[np.ndarray], outside: bool = False):
         self.t = threshold
-        self.sets: list[set] = []
-        self.parent: list[int] = []
-        self.links: list[int] = []
+        self.size = [len(s) for s in sets]
+        self.values, tokens, df = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+        ends = np.cumsum([0, *self.size])
+        if not outside:
+            useful = df > 1
+            held = useful[tokens]
+            tokens, df, self.values = (np.cumsum(useful) - 1)[tokens[held]], df[useful], self.values[useful]
+            ends = np.concatenate(([0], np.cumsum(held)))[ends]
+        self.tokens = np.split(tokens.astype(np.int32), ends[1:-1])
+        self.offset = np.concatenate(([0], np.cumsum(df)))
+        self.filled = np.zeros(len(df), np.int64)
+        self.row = np.zeros(int(self.offset[-1]), np.int32)
+        self.mark = np.zeros(len(df), bool)
+        self.parent = list(range(len(sets)))
+        self.links = [0] * len(sets)
         self.cells: list[list[int]] = []
-        self.matrix: dict[int, int] = {}
+        self.union: list[np.ndarray] = []
+        self.of_part: dict[int, int] = {}
         self.opened = self.compared = 0
 
     def find(self, i: int) -> int:
@@ -121,92 +156,114 @@ class TokenGroups:
             i = self.parent[i]
         return i
 
-    def overlaps(self, grams: list[int]) -> np.ndarray:
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((self.find(i), self.find(j)))
+        self.parent[b] = a
+
+    def overlaps(self, tokens: np.ndarray) -> np.ndarray:
         """Per cell, how many of the n-grams its token union holds."""
-        wide = (len(self.cells) + 7) // 8
-        rows = [m.to_bytes(wide, "little") for m in map(self.matrix.get, grams) if m is not None]
-        if not rows:
-            return np.zeros(len(self.cells), np.int64)
-        bits = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), wide), axis=1, bitorder="little")
-        return bits.sum(axis=0, dtype=np.int64)[: len(self.cells)]
+        n = self.filled[tokens]
+        at = np.repeat(self.offset[tokens] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.row[at], minlength=len(self.cells))
+
+    def known(self, grams: np.ndarray) -> np.ndarray:
+        """The tokens of those n-grams of a set from outside that the block holds."""
+        at = np.minimum(np.searchsorted(self.values, grams), max(0, len(self.values) - 1))
+        return at[self.values[at] == grams] if len(self.values) else at[:0]
 
-    def linked(self, grams: list[int], root: int | None = None) -> Iterator[tuple[int, int]]:
-        """(set, cell) of a linked set for each connected part that links with the query.
+    def linked(self, tokens: np.ndarray, n: int, part: int | None = None) -> Iterator[tuple[int, int]]:
+        """(set, cell) of a linked set for each connected part that links with a set of n n-grams.
 
-        root: part the query is in already; it is not looked into.
+        part: connected part the set is in already; it is not looked into.
         """
-        own, n, met = set(grams), len(grams), {root}
         if not self.cells:
             return
+        met = [] if part is None or part not in self.of_part else [self.of_part[part]]
         low = -(-self.t * n // 100)
-        bound = self.overlaps(grams)
+        bound = self.overlaps(tokens)
         # a linked set has at least `low` n-grams, so a link needs this much in common
-        need = -(-self.t * (n + low) // (100 + self.t))
-        for c in np.argsort(-bound, kind="stable").tolist():
-            if bound[c] < need:
-                return
+        able = np.flatnonzero(bound >= max(1, -(-self.t * (n + low) // (100 + self.t))))
+        self.mark[tokens] = True
+        for c in able[np.argsort(-bound[able], kind="stable")].tolist():
             cell = self.cells[c]
-            if self.find(cell[0]) in {self.find(r) for r in met if r is not None}:
+            if self.find(cell[0]) in {self.find(i) for i in met}:
                 continue  # a cell's members are connected
             self.opened += 1
             for other in sorted(cell, key=lambda i: -self.links[i]):
-                theirs = self.sets[other]
-                if len(theirs) < low:
+                if self.size[other] < low:
                     continue
                 self.compared += 1
-                if len(own & theirs) * (100 + self.t) >= self.t * (n + len(theirs)):
+                if int(self.mark[self.tokens[other]].sum()) * (100 + self.t) >= self.t * (n + self.size[other]):
                     self.links[other] += 1
-                    met.add(self.find(other))
+                    met.append(other)
                     yield other, c
                     break
+        self.mark[tokens] = False
 
-    def add(self, grams: list[int]) -> None:
-        """Puts a set into a cell it links with, or into a cell of its own."""
-        me = len(self.sets)
-        found = list(self.linked(grams))
-        self.sets.append(set(grams))
-        self.parent.append(me)
-        self.links.append(len(found))
+    def add(self, me: int, part: int | None = None) -> list[int]:
+        """Puts the next set into a cell it links with, or into a cell of its own; the sets it links with."""
+        tokens = self.tokens[me]
+        found = list(self.linked(tokens, self.size[me], part))
+        self.links[me] = len(found)
         for other, _ in found:
-            a, b = sorted((self.find(me), self.find(other)))
-            self.parent[b] = a
+            self.join(me, other)
+        if part is not None:
+            self.join(me, self.of_part.setdefault(part, me))
         home = next((c for _, c in found if len(self.cells[c]) < CELL), None)
         if home is None:
             home = len(self.cells)
             self.cells.append([])
+            self.union.append(tokens)
+        else:
+            tokens = np.setdiff1d(tokens, self.union[home], assume_unique=True)
+            self.union[home] = np.concatenate([self.union[home], tokens])
         self.cells[home].append(me)
-        bit = 1 << home
-        for g in grams:
-            self.matrix[g] = self.matrix.get(g, 0) | bit
+        self.row[self.offset[tokens] + self.filled[tokens]] = home
+        self.filled[tokens] += 1
+        return [other for other, _ in found]
+
+
+def _in_slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True)
+
+
+def _grams(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, np.int64)
+
+
+def _longs(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
 
 
 def _within(threshold: int):
-    """Links within each (root, block): rows (doc_id, root, block, sub, links).
+    """Links within each (root, block): rows (key, root, block, sub, links).
 
-    sub is the smallest id of the connected part of the block.
+    sub is the smallest key of the connected part of the block.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]):
-        key, ids, groups = None, [], None
-
-        def done():
-            low: dict[int, int] = {}
-            for i, d in enumerate(ids):
-                r = groups.find(i)
-                low[r] = min(low.get(r, d), d)
-            subs = [low[groups.find(i)] for i in range(len(ids))]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([key[0]] * len(ids), pa.int64()), pa.array([key[1]] * len(ids), pa.int64()), pa.array(subs, pa.int64()), pa.array(groups.links, pa.int64())], names=["doc_id", "root", "block", "sub", "links"])
+    def settled(at: tuple, keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        groups = TokenGroups(threshold, sets)
+        for i in range(len(sets)):
+            groups.add(i)
+        low: dict[int, int] = {}
+        for i, k in enumerate(keys):
+            r = groups.find(i)
+            low[r] = min(low.get(r, k), k)
+        return _longs([(k, *at, low[groups.find(i)], groups.links[i]) for i, k in enumerate(keys)], "key", "root", "block", "sub", "links")
 
-        for batch in batches:
-            for root, block, d, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, block) != key:
-                    if ids:
-                        yield done()
-                    key, ids, groups = (root, block), [], TokenGroups(threshold)
-                ids.append(d)
-                groups.add(np.frombuffer(grams, np.int64).tolist())
-        if ids:
-            yield done()
+    def run(batches: Iterable[pa.RecordBatch]):
+        at, keys, sets = None, [], []
+        for root, block, key, stored in _in_slices(batches):
+            if (root, block) != at:
+                if keys:
+                    yield settled(at, keys, sets)
+                at, keys, sets = (root, block), [], []
+            keys.append(key)
+            sets.append(_grams(stored))
+        if keys:
+            yield settled(at, keys, sets)
 
     return run
 
@@ -215,42 +272,58 @@ def _with_hubs(threshold: int):
     """Blocks whose hubs come before the members -> links (a, b) of members with hubs."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        key, hubs = None, []
-        for batch in batches:
-            out = []
-            for root, block, member, d, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, block) != key:
-                    key, hubs = (root, block), []
-                own = np.frombuffer(grams, np.int64)
-                if not member:
-                    hubs.append((d, own))
-                    continue
-                for h, theirs in hubs:
-                    k = len(np.intersect1d(own, theirs, assume_unique=True))
-                    if h != d and k * (100 + threshold) >= threshold * (len(own) + len(theirs)):
-                        out.append((d, h))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        at, hubs, out = None, [], []
+        for root, block, member, key, stored in _in_slices(batches):
+            if (root, block) != at:
+                at, hubs = (root, block), []
+            own = _grams(stored)
+            if not member:
+                hubs.append((key, own))
+                continue
+            for h, theirs in hubs:
+                k = len(np.intersect1d(own, theirs, assume_unique=True))
+                if h != key and k * (100 + threshold) >= threshold * (len(own) + len(theirs)):
+                    out.append((key, h))
+            if len(out) > 50_000:
+                yield _longs(out, "a", "b")
+                out = []
+        yield _longs(out, "a", "b")
 
     return run
 
 
 def _across(threshold: int):
-    """Blocks whose members come before the queries -> links (a, b) of queries with members."""
+    """Classes under one n-gram, in blocks -> links (a, b) between different parts.
+
+    Rows (h, block, asks, key, part, grams), the members of a block before
+    those that only ask it.
+    """
+
+    def built(members: list[tuple], out: list[tuple]) -> TokenGroups:
+        groups = TokenGroups(threshold, [m[2] for m in members], outside=True)
+        for i, (key, part, _) in enumerate(members):
+            out += [(key, members[j][0]) for j in groups.add(i, part)]
+        return groups
 
     def run(batches: Iterable[pa.RecordBatch]):
-        key, ids, groups = None, [], None
-        for batch in batches:
-            out = []
-            for root, block, asks, d, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, block) != key:
-                    key, ids, groups = (root, block), [], TokenGroups(threshold)
-                grams = np.frombuffer(grams, np.int64).tolist()
-                if asks:
-                    out += [(d, ids[i]) for i, _ in groups.linked(grams)]
-                else:
-                    ids.append(d)
-                    groups.add(grams)
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        at, members, groups, out = None, [], None, []
+        for h, block, asks, key, part, stored in _in_slices(batches):
+            if (h, block) != at:
+                if members and groups is None:
+                    built(members, out)
+                at, members, groups = (h, block), [], None
+            if not asks:
+                members.append((key, part, _grams(stored)))
+                continue
+            groups = groups or built(members, out)
+            own = _grams(stored)
+            out += [(key, members[j][0]) for j, _ in groups.linked(groups.known(own), len(own), part)]
+            if len(out) > 50_000:
+                yield _longs(out, "a", "b")
+                out = []
+        if members and groups is None:
+            built(members, out)
+        yield _longs(out, "a", "b")
 
     return run
 
@@ -261,91 +334,107 @@ BLOCK_BYTES = 4 << 20
 HUBS = 16
 
 
-def _in_blocks(more: DataFrame, held: DataFrame, threshold: int, step) -> DataFrame:
-    """Runs step over each block with its members and more rows, those with second = false first."""
-    members = held.select("root", "block", F.lit(step is _with_hubs).alias("second"), "doc_id", "n", "grams")
-    both = members.unionByName(more).repartition("root", "block").sortWithinPartitions("root", "block", "second", "n", "doc_id")
-    return both.select("root", "block", "second", "doc_id", "grams").mapInArrow(step(threshold), "a bigint, b bigint")
-
+def _linked_classes(full: DataFrame, rare: DataFrame, threshold: int, block_bytes: int, keep: Callable) -> DataFrame:
+    """(key, root): connected classes in the groups of candidates (root, key, n, grams).
 
-def _linked_classes(full: DataFrame, threshold: int, block_bytes: int) -> DataFrame:
-    """(rep, root): connected classes in the groups of candidates (doc_id, n, grams, root).
-
-    A group over block_bytes is dealt into blocks by a hash of the id, and no
-    task holds more than a block. Links within blocks come first, then links
-    of all members with the group's hubs. What is connected to the largest
-    part by then is settled among itself; each of the others asks all blocks.
+    rare: (key, h), the n-grams of which linked classes share one.
     """
     sizes = full.groupBy("root").agg(F.sum(F.octet_length("grams")).alias("bytes"))
     large = stash(sizes.where(F.col("bytes") > block_bytes).select("root", F.ceil(F.col("bytes") / block_bytes).cast("bigint").alias("blocks")), "large")
-    count = F.coalesce("blocks", F.lit(1))
-    dealt = full.join(large, "root", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), count))
-    rows = dealt.repartition("root", "block").sortWithinPartitions("root", "block", "n", "doc_id").select("root", "block", "doc_id", "grams")
-    within = stash(rows.mapInArrow(_within(threshold), "doc_id bigint, root bigint, block bigint, sub bigint, links bigint"), "within")
+    dealt = full.join(large, "root", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))))
+    rows = dealt.repartition("root", "block").sortWithinPartitions("root", "block", "n", "key").select("root", "block", "key", "grams")
+    within = stash(rows.mapInArrow(tidied(_within(threshold)), "key bigint, root bigint, block bigint, sub bigint, links bigint"), "within")
     if large.isEmpty():
-        return within.select(F.col("doc_id").alias("rep"), F.col("sub").alias("root"))
+        return keep(within.select("key", F.col("sub").alias("root")), "linked")
 
-    inner = within.join(large, "root", "left_anti").select(F.col("doc_id").alias("rep"), F.col("sub").alias("root"))
+    inner = within.join(large, "root", "left_anti").select("key", F.col("sub").alias("root"))
     parts = within.join(large, "root")
-    best = parts.groupBy("root", "block").agg(F.max(F.struct("links", "doc_id")).alias("x"))
+    best = parts.groupBy("root", "block").agg(F.max(F.struct("links", "key")).alias("x"))
     place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("x")))
-    hub_ids = best.withColumn("k", place).where(F.col("k") <= HUBS).select("root", F.col("x.doc_id").alias("doc_id"))
+    hub_keys = best.withColumn("k", place).where(F.col("k") <= HUBS).select("root", F.col("x.key").alias("key"))
     big = full.join(large, "root")
     every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
-    hubs = big.join(hub_ids, ["root", "doc_id"], "left_semi").select("root", every_block, F.lit(False).alias("second"), "doc_id", "n", "grams")
-    held = dealt.where("blocks IS NOT NULL")
-    to_hubs = stash(_in_blocks(hubs, held, threshold, _with_hubs), "to_hubs")
-    edges = parts.select(F.col("doc_id").alias("a"), F.col("sub").alias("b")).unionByName(to_hubs)
-    named = parts.select("doc_id", "root").join(components(edges).withColumnRenamed("root", "__root"), F.col("doc_id") == F.col("node"), "left").select("doc_id", parts["root"], F.coalesce("__root", "doc_id").alias("part"))
-    named = stash(named, "parts")
-    main = named.groupBy("root", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-    open_ids = named.join(main, "root").where("part <> main").select("doc_id")
-    asking = big.join(open_ids, "doc_id", "left_semi").select("root", every_block, F.lit(True).alias("second"), "doc_id", "n", "grams")
-    across = stash(_in_blocks(asking, held, threshold, _across), "across")
-    joined = components(edges.unionByName(across)).withColumnRenamed("root", "__root")
-    outer = parts.select("doc_id").join(joined, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("rep"), F.coalesce("__root", "doc_id").alias("root"))
-    return inner.unionByName(outer)
+    hubs = big.join(hub_keys, ["root", "key"], "left_semi").select("root", every_block, F.lit(False).alias("member"), "key", "n", "grams")
+    held = dealt.where("blocks IS NOT NULL").select("root", "block", F.lit(True).alias("member"), "key", "n", "grams")
+    met = hubs.unionByName(held).repartition("root", "block").sortWithinPartitions("root", "block", "member", "n", "key")
+    to_hubs = stash(met.select("root", "block", "member", "key", "grams").mapInArrow(tidied(_with_hubs(threshold)), "a bigint, b bigint"), "to_hubs")
+    edges = parts.select(F.col("key").alias("a"), F.col("sub").alias("b")).unionByName(to_hubs)
+    parted = parts.select("key").join(components(edges), F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("part"))
+    parted = stash(parted, "parted")
+
+    # n-grams whose classes lie in several parts
+    under = stash(rare.join(parted.join(big.select("key", "n"), "key").hint("merge"), "key"), "under")
+    per = under.groupBy("h", "part").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 8).alias("bytes"))
+    open_grams = per.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("bytes").alias("bytes"), F.max_by("part", F.struct("k", "part")).alias("main")).where("parts > 1")
+    shape = stash(open_grams.select("h", F.ceil(F.col("bytes") / block_bytes).cast("bigint").alias("blocks"), "main"), "shape")
+    asked = under.join(shape.hint("merge"), "h").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    # of two classes in different parts one is not in the main part, and asks all other blocks of the n-gram
+    other_blocks = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block")
+    asking = asked.where("part <> main AND blocks > 1").select("h", other_blocks, F.lit(True).alias("asks"), "key", "part")
+    seats = stash(asked.select("h", F.col("own").alias("block"), F.lit(False).alias("asks"), "key", "part").unionByName(asking), "seats")
+    seated = seats.join(big.select("key", "n", "grams").hint("merge"), "key").repartition("h", "block").sortWithinPartitions("h", "block", "asks", "n", "key")
+    across = stash(seated.select("h", "block", "asks", "key", "part", "grams").mapInArrow(tidied(_across(threshold)), "a bigint, b bigint"), "across")
+    joined = components(edges.unionByName(across))
+    outer = parts.select("key").join(joined, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"))
+    return keep(inner.unionByName(outer), "linked")
+
+
+def _groups(rows: DataFrame, size: int, threshold: int, block_bytes: int) -> DataFrame:
+    """(doc_id, n, low) of (doc_id, __text) rows: set size and smallest id of the component."""
+    with scratch(rows.sparkSession) as keep:
+        sketches = stash(_sketches(rows, size, threshold), "sketches")
+
+        # classes of equal sets, salted so that no class meets in one task
+        keyed = sketches.select("doc_id", "n", "key", salt_of("doc_id").alias("salt"))
+        parts = keyed.where("key is not null").groupBy("key", "salt").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("k"))
+        classes = stash(parts.groupBy("key").agg(F.min("low").alias("low"), F.sum("k").alias("k"), F.collect_list("salt").alias("salts")), "classes")
+        maybe, alone = split_by(sketches.where("key is not null").select("key", "n", "prefix"), "key", classes.where("k > 1"))
+        reps = alone.unionByName(maybe.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+
+        # prefix n-grams on two classes or more; classes with enough of them go on
+        grams = repeated_only(reps.select("key", "n", F.explode("prefix").alias("h")), "h")
+        least = F.expr(f"1 + ((({threshold} * n + 99) div 100) * {100 - threshold}) div 100")
+        held = grams.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g"))
+        held = held.withColumn("l", least).where(F.size("g") >= F.col("l"))
+        rare = stash(held.select("key", F.explode(F.expr("slice(g, 1, int(size(g) - l + 1))")).alias("x")).select("key", F.col("x.h").alias("h")), "rare")
+        first = stash(rare.groupBy("h").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "first")
+        stars = rare.join(first.hint("merge"), "h").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+        members = stash(components(stars).select(F.col("node").alias("key"), "root"), "members")
+
+        # token-group matrix in each group of candidates, one text a class
+        chosen = stash(members.join(classes.select("key", "low"), "key").select(F.col("low").alias("doc_id"), "key", "root"), "chosen")
+        texts, _ = split_by(rows, "doc_id", chosen)
+        full = stash(_full_sets(texts, size).where("n > 0").join(members.hint("merge"), "key").dropDuplicates(["key"]).select("root", "key", "n", "grams"), "full")
+        linked = _linked_classes(full, rare, threshold, block_bytes, stash)
+
+        # the smallest id of each component, back to the rows
+        lows = stash(linked.join(classes.select("key", "low").hint("merge"), "key"), "lows")
+        least_low = stash(lows.groupBy("root").agg(F.min("low").alias("least")), "least")
+        named = lows.join(least_low.hint("merge"), "root").select("key", "least")
+        dealt = classes.join(named.hint("merge"), "key", "left").select("key", F.explode("salts").alias("salt"), F.coalesce("least", "low").alias("low"))
+        out = keyed.join(stash(dealt, "dealt").hint("merge"), ["key", "salt"], "left")
+        return keep(out.select("doc_id", "n", F.coalesce("low", "doc_id").alias("low")), "groups")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: id, n_shingles, component_id. threshold in hundredths."""
-    sketches = stash(_sketches(docs, id_col, text_col, size, threshold), "sketches")
-
-    # classes of equal sets, salted so that no class meets in one task
-    keyed = sketches.select("doc_id", "n", "digest", salt_of("doc_id").alias("salt"))
-    parts = keyed.where("digest is not null").groupBy("digest", "salt").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("k"))
-    classes = parts.groupBy("digest").agg(F.min("low").alias("rep"), F.sum("k").alias("k"), F.collect_list("salt").alias("salts"))
-    dealt = stash(classes.select("digest", "rep", "k", F.explode("salts").alias("salt")), "classes")
-    twins = keyed.join(dealt.where("k > 1").hint("merge"), ["digest", "salt"]).where("doc_id <> rep").select("doc_id")
-    maybe, alone = split_by(sketches.where("digest is not null").select("doc_id", "n", "prefix"), "doc_id", twins)
-    reps = alone.unionByName(maybe.join(twins.distinct(), "doc_id", "left_anti"))
-
-    # prefix n-grams on two classes or more; classes with enough of them go on
-    grams = repeated_only(reps.select("doc_id", "n", F.explode("prefix").alias("h")), "h")
-    least = F.expr(f"1 + ((({threshold} * n + 99) div 100) * {100 - threshold}) div 100")
-    held = grams.groupBy("doc_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g"))
-    held = held.withColumn("l", least).where(F.size("g") >= F.col("l"))
-    rare = stash(held.select("doc_id", F.explode(F.expr("slice(g, 1, int(size(g) - l + 1))")).alias("x")).select("doc_id", F.col("x.h").alias("h")), "rare")
-    first = rare.groupBy("h").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    stars = rare.join(first.hint("merge"), "h").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    members = stash(components(stars), "members")
-
-    # token-group matrix in each group of candidates
-    held_docs, _ = split_by(docs.select(id_col, text_col), id_col, members.select(F.col("node").alias(id_col)))
-    full = _full_sets(held_docs, id_col, text_col, size).where(F.col("n") > 0).join(members.hint("merge"), F.col("doc_id") == F.col("node"))
-    full = stash(full.select("root", "doc_id", "n", "grams"), "full")
-    linked = stash(_linked_classes(full, threshold, block_bytes).groupBy("rep").agg(F.min("root").alias("root")), "linked")
-
-    named = dealt.join(linked.hint("merge"), "rep", "left").select("digest", "salt", F.coalesce("root", "rep").alias("root"))
-    out = keyed.join(named.hint("merge"), ["digest", "salt"], "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
-    """One document of each component stays, that with the smallest id, with all columns."""
-    losers = stash(near_groups(docs, id_col, text_col, size, threshold).where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "losers")
-    maybe, kept = split_by(docs, id_col, losers)
-    return kept.unionByName(maybe.join(losers, id_col, "left_anti").select(docs.columns))
+    found = _groups(_with_id(docs, id_col, text_col), size, threshold, block_bytes)
+    return found.select(F.nullif("doc_id", F.lit(NULL_ID)).alias(id_col), F.col("n").alias("n_shingles"), F.nullif("low", F.lit(NULL_ID)).alias("component_id"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of the smallest id of each component stay, with all their columns.
+
+    Rows that repeat an id stay or go together: they go when each of them is
+    in the component of a smaller id.
+    """
+    with scratch(docs.sparkSession) as keep:
+        found = _groups(_with_id(docs, id_col, text_col), size, threshold, block_bytes)
+        mine = fresh("__id", docs)
+        losers = keep(found.groupBy(F.col("doc_id").alias(mine)).agg(F.bool_and(F.col("low") < F.col("doc_id")).alias("goes")).where("goes").select(mine), "losers")
+    marked = docs.withColumn(mine, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NULL_ID)))
+    maybe, kept = split_by(marked, mine, losers)
+    return kept.unionByName(maybe.join(losers, mine, "left_anti")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 __all__ = ["TokenGroups", "drop_near", "near_groups"]
