@@ -6,16 +6,20 @@ transitions between them, through a learned layer; gated attention weights
 (tanh times sigmoid) learned from document labels alone say how much each
 passage counts, and the weighted passage representation is scored.
 
-Training uses a bounded sample of labelled rows (TRAIN_DOCS documents in the
-order of a hash of their id, at most TRAIN_PASSAGES evenly spaced passages
-of each); scoring reads every passage of every text. Labels, ids and other
+Training uses a bounded sample of labelled rows: TRAIN_DOCS rows at most in
+the order of a hash of their id, as long as all their passages together are
+TRAIN_PASSAGES at most. A row is taken with every passage of its text or not
+at all. Scoring reads every passage of every text. Labels, ids and other
 columns are never inputs of a score.
 
 Null and empty texts are one passage without bytes and get its score. Null
 labels and labels of unknown documents are left out; of several labels of a
 document the mean counts. Without labels, or with one class only, the score
 is the share of that class (0.5 without any). Repeated rows get equal
-scores; an empty table gives none.
+scores; rows that repeat an id with different texts are scored each by its
+own text. Null ids are scored, but bear no label. An empty table gives none.
+The filtering form returns the columns it was given, whatever their names; a
+long text is one row of many passages and is scored whole.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.llm.common import columns_as_bytes, fresh, stash, text_value, tidied
+
 PASSAGE = 512
-TRAIN_DOCS, TRAIN_PASSAGES = 3000, 24
+TRAIN_DOCS, TRAIN_PASSAGES = 3000, 60_000
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
 EPOCHS, RATE, DECAY, SEED = 60, 0.01, 1e-4, 7
@@ -141,31 +147,37 @@ def held_out_column(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN_DOCS, passages: int = TRAIN_PASSAGES) -> Model:
     """Fits the model on the bounded sample; held-out rows are never read for it."""
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out_column(id_col))
-    chosen = rows.groupBy(id_col).agg(F.avg(F.col(label_col).cast("double")).alias("__label")).orderBy(F.xxhash64(id_col), id_col).limit(limit)
+    chosen = rows.groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label")).orderBy(F.xxhash64("id"), "id").limit(limit)
     # at most `limit` rows of two numbers: a broadcast of proven size
-    sample = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(chosen), id_col)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("__text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterable[pa.RecordBatch]):
-        from lorekeep.llm.common import columns_as_bytes
-
         for batch in batches:
-            ids, given = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            out = []
-            for text in columns_as_bytes(batch, "__text"):
-                x, _ = passages_of([text or b""])
-                at = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).astype(int))
-                out.append(x[at].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(given, pa.float64()), pa.array(out, pa.binary())], names=[id_col, "label", "x"])
-
-    schema = T.StructType([docs.schema[id_col], T.StructField("label", T.DoubleType()), T.StructField("x", T.BinaryType())])
-    got = sorted((r for r in sample.select(id_col, "__text", "__label").mapInArrow(run, schema).collect()), key=lambda r: (str(r[0]), bytes(r[2])))
-    y = np.array([r[1] for r in got])
-    if not len(got) or y.min() == y.max():
-        return Model(prior=float(y.mean()) if len(got) else 0.5)
-    return Model().fit([np.frombuffer(r[2], "<f4").reshape(-1, DIM).astype(np.float64) for r in got], y)
+            for at in range(batch.num_rows):
+                x, _ = passages_of(columns_as_bytes(batch.slice(at, 1), "__text"))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, 1) for c in batch.columns[:2]), batch.column(3).slice(at, 1), pa.array([len(x)], pa.int64()), pa.array([x.astype("<f4").tobytes()], pa.binary())], names=["id", "text_key", "label", "n", "x"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("label", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("x", T.BinaryType())])
+    held = stash(sample.select("id", "text_key", "__text", "label").mapInArrow(tidied(run), schema), "sample")
+    sizes = held.select("id", "text_key", "n").distinct().orderBy(F.xxhash64("id"), "id", "text_key").limit(limit).collect()
+    took, total = [], 0
+    for r in sizes:
+        if total + r.n <= passages:
+            took.append((r.id, r.text_key))
+            total += r.n
+    if not took:
+        return Model(prior=0.5)
+    picks = docs.sparkSession.createDataFrame(took, T.StructType([schema["id"], schema["text_key"]]))
+    got = held.join(F.broadcast(picks), ["id", "text_key"]).dropDuplicates(["id", "text_key"]).select("id", "text_key", "label", "x").collect()
+    got.sort(key=lambda r: (str(r.id), r.text_key))
+    y = np.array([r.label for r in got])
+    if y.min() == y.max():
+        return Model(prior=float(y.mean()))
+    return Model().fit([np.frombuffer(r.x, "<f4").reshape(-1, DIM) for r in got], y)
 
 
 #: Bytes of text whose passages are encoded together.
@@ -184,30 +196,22 @@ def _scores(model: Model, texts: list[bytes | None]) -> list[float]:
     return out
 
 
-def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score", least: float | None = None) -> DataFrame:
-    """All columns of docs with the score; least: only rows at or above it stay."""
-    from lorekeep.llm.common import columns_as_bytes
-
-    kept = [f for f in docs.schema.fields if f.name != name]
-    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
+def score_column(docs: DataFrame, model: Model, text_col: str = "text"):
+    """The score of each text, as a column; only texts and scores pass through Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            scores = pa.array(_scores(shared.value, columns_as_bytes(batch, text_col)), pa.float64())
-            out = pa.RecordBatch.from_arrays([*batch.columns, scores], names=schema.names)
-            yield out if least is None else out.filter(pa.array([s >= least for s in scores.to_pylist()], pa.bool_()))
-
-    return docs.select([F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return text_value(text_col, "double", lambda: lambda texts: _scores(shared.value, texts))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: held_out, score, predicted."""
     model = train(docs, labels, id_col, text_col)
-    scored = with_scores(docs.select(id_col, text_col), model, text_col, "__score").drop(text_col)
-    return scored.select(id_col, held_out_column(id_col).alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= threshold, 1).otherwise(0).alias("predicted"))
+    scored = docs.select(F.col(f"`{id_col}`"), score_column(docs, model, text_col).alias("score"))
+    return scored.select(id_col, held_out_column(id_col).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents predicted 1, with their columns."""
-    return with_scores(docs, train(docs, labels, id_col, text_col), text_col, "__score", threshold).select(docs.columns)
+    name = fresh("__score", docs)
+    scored = docs.withColumn(name, score_column(docs, train(docs, labels, id_col, text_col), text_col))
+    return scored.where(F.col(name) >= threshold).select([F.col(f"`{c}`") for c in docs.columns])
