@@ -4,8 +4,9 @@ Null texts count as empty. Texts are equal when their bytes agree after
 lower-casing A-Z. Of equal texts the row with the largest id is live; a null
 id is smaller than all others. Rows that repeat an id with the same text are
 one document listed twice: all of them bear the verdict of that id, and the
-filtering form keeps one. An empty table gives an empty result. Columns that
-clash with result names give way to the results.
+filtering form keeps one. An empty table gives an empty result; a long text is
+hashed whole. The table form returns the id and the results alone, the
+filtering form the columns it was given, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import LOWER_AZ, SALTS, map_texts, salt_of, split_by, stash
+from lorekeep.llm.common import LOWER_AZ, SALTS, fresh, map_texts, salt_of, scratch, split_by, stash, text_value, tidied
 
 
 class CuckooIndex:
@@ -125,44 +126,66 @@ def text_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(docs.select(id_col, text_col), text_col, "digest binary", _digest_setup, keep=[id_col])
 
 
+def _digest(text: bytes | None) -> bytes:
+    return hashlib.sha256((text or b"").translate(LOWER_AZ)).digest()
+
+
 def _digest_setup():
-    return lambda text: (hashlib.sha256((text or b"").translate(LOWER_AZ)).digest(),)
+    return lambda text: (_digest(text),)
 
 
-def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (digest, top, n, salts) rows through an index; one row a live digest.
+#: Live digests that one index of a task holds before it is given out.
+LIVE = 200_000
 
-    A row with a larger id deletes the entry that stood for the digest and
-    takes its place.
-    """
-    index = CuckooIndex()
-    for batch in batches:
-        for digest, top, n, salts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            live = index.get(digest)
-            if live is None:
-                index.insert(digest, [top, n, list(salts)])
-            elif top is not None and (live[0] is None or top > live[0]):
-                index.delete(digest)
-                index.insert(digest, [top, n + live[1], live[2] + list(salts)])
-            else:
-                live[1] += n
-                live[2] += salts
+
+def _given(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     rows = [(d, *v) for d, v in index.items()]
     for at in range(0, len(rows), 20_000):
         part = list(zip(*rows[at : at + 20_000], strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.binary()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.list_(pa.int32()))], names=["digest", "keep_id", "group_size", "salts"])
 
 
-def live_digests(digests: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def _merge(live: int):
+    """Runs (digest, top, n, salts) rows, by digest, through an index; one row a live digest.
+
+    A row with a larger id deletes the entry that stood for the digest and
+    takes its place. Rows come by digest, so an index of `live` digests is
+    complete where the next digest begins: it is given out and a new one
+    begun, and a task's memory does not grow with the data.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, last = CuckooIndex(), None
+        for batch in batches:
+            for digest, top, n, salts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if index.size >= live and digest != last:
+                    yield from _given(index)
+                    index = CuckooIndex()
+                last = digest
+                held = index.get(digest)
+                if held is None:
+                    index.insert(digest, [top, n, list(salts)])
+                elif top is not None and (held[0] is None or top > held[0]):
+                    index.delete(digest)
+                    index.insert(digest, [top, n + held[1], held[2] + list(salts)])
+                else:
+                    held[1] += n
+                    held[2] += salts
+        yield from _given(index)
+
+    return run
+
+
+def live_digests(digests: DataFrame, id_col: str = "doc_id", live: int = LIVE) -> DataFrame:
     """The index's live entries: (digest, salt, keep_id, group_size).
 
     Rows are first combined per digest and salt, so that a text on a third
     of all rows reaches its bucket as at most SALTS rows.
     """
     parts = digests.groupBy("digest", "salt").agg(F.max(id_col).alias("top"), F.count(F.lit(1)).alias("n"))
-    rows = parts.select("digest", "top", "n", F.array("salt").alias("salts")).repartition("digest")
-    live = rows.mapInArrow(_merge, "digest binary, keep_id bigint, group_size bigint, salts array<int>")
-    return live.select("digest", F.explode("salts").alias("salt"), "keep_id", "group_size")
+    rows = parts.select("digest", "top", "n", F.array("salt").alias("salts")).repartition("digest").sortWithinPartitions("digest")
+    found = rows.mapInArrow(tidied(_merge(live)), "digest binary, keep_id bigint, group_size bigint, salts array<int>")
+    return found.select("digest", F.explode("salts").alias("salt"), "keep_id", "group_size")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,18 +200,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their columns.
 
-    Only rows that may go (by a filter of fixed size) are moved; the rest of
+    Only rows that may go (by a filter of bounded size) are moved; the rest of
     the texts stay where they are.
     """
-    verdicts = stash(exact_groups(docs, id_col, text_col), "verdicts")
-    again = verdicts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
-    doubtful = verdicts.where(~F.col("kept")).select(id_col).union(again)
+    with scratch(docs.sparkSession) as keep:
+        verdicts = stash(exact_groups(docs, id_col, text_col), "verdicts")
+        again = verdicts.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+        doubtful = keep(verdicts.where(~F.col("kept")).select(id_col).union(again).distinct(), "doubtful")
+        id_name, sha = fresh("__keep", docs), fresh("__sha", docs)
+        live = keep(verdicts.where("kept").select(F.col(id_col).alias(id_name), F.col("text_sha256").alias(sha)).distinct(), "live")
     maybe, kept = split_by(docs, id_col, doubtful)
-    live = verdicts.where("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = map_texts(maybe.withColumn("__again", F.col(f"`{text_col}`")), "__again", "__digest binary", _digest_setup)
-    joined = marked.join(live, marked[id_col].eqNullSafe(live["__keep"]) & (F.lower(F.hex("__digest")) == F.col("__sha")))
-    first = Window.partitionBy(id_col, "__digest").orderBy(F.lit(1))
-    rest = joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(docs.columns)
+    digest = fresh("__digest", docs)
+    marked = maybe.withColumn(digest, text_value(text_col, "binary", lambda: lambda texts: [_digest(t) for t in texts]))
+    joined = marked.join(live, marked[id_col].eqNullSafe(live[id_name]) & (F.lower(F.hex(digest)) == F.col(sha)))
+    rest = joined.dropDuplicates([id_col, digest]).select([marked[f"`{c}`"] for c in docs.columns])
     return kept.unionByName(rest)
 
 
