@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 
@@ -20,7 +21,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 COMMON = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: All but the characters on which dialects and Unicode versions agree: Latin, Greek, Cyrillic, punctuation.
 RARE = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɀΑ-Ρα-ωЀ-ѿ‐-‧‰-⁞€]"
-CACHE = 300_000
+CACHE = 150_000
 
 
 def default_path() -> str:
@@ -41,9 +42,8 @@ class Cached(dict):
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", ())}
@@ -53,6 +53,13 @@ class Cached(dict):
         self.merge = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.special = sorted(special)
 
+    @cached_property
+    def full(self):
+        """The whole tokenizer, for the few texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __missing__(self, piece: str) -> bytes:
         found = array("I", self.merge.encode_ordinary(piece)).tobytes()
         if len(self) >= CACHE:
