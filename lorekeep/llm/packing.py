@@ -1,8 +1,9 @@
 """Order-preserving packing of token streams by dynamic programming.
 
 The documents of a partition, in their order, form one stream of tokens. Cuts
-may fall behind a document, behind a sentence, or (at a higher price) at
-regular steps inside long sentences. dp[j] is the least cost of a stream cut
+may fall behind a document or behind a sentence. Only a stretch of more than
+REACH tokens without such a boundary may also be cut inside, at regular steps
+and a higher price. dp[j] is the least cost of a stream cut
 at j: padding of every sequence plus the price of its cut, over all cuts i
 with j - i within the sequence length. Padding is linear in j - i, so the
 minimum over i of dp[i] + i is kept in a monotone queue. Sequences whose
@@ -26,15 +27,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lorekeep.llm.common import columns_as_bytes
+from lorekeep.llm.common import columns_as_bytes, tidied
 from lorekeep.llm.tokenize import default_path, encoder
 
 LENGTH = 2048
 END_ID = 1
 #: Prices in tokens: a cut behind a sentence, inside one, and each further sequence.
 SENTENCE, INSIDE, SEQUENCE = 2.0, 12.0, 4.0
-#: Steps inside long sentences at which a cut may fall.
-STEP = 64
+#: Tokens without a boundary beyond which a stretch may be cut inside, at such steps.
+REACH, STEP = 128, 64
 #: Tokens that are planned together.
 BLOCK = 1 << 19
 
@@ -101,6 +102,13 @@ class Boundaries:
         return np.flatnonzero(self.ends[capped[:-1]] & self.begins[capped[1:]]) + 1
 
 
+def steps_inside(boundaries: np.ndarray, reach: int = REACH, step: int = STEP) -> np.ndarray:
+    """Places inside the stretches between boundaries that are longer than reach."""
+    at = np.concatenate(([0], boundaries[boundaries > 0]))
+    long = np.flatnonzero(np.diff(at) > reach)
+    return np.concatenate([np.arange(at[i] + step, at[i + 1], step) for i in long]) if len(long) else np.zeros(0, np.int64)
+
+
 class Packer:
     """Packs a stream of (doc_id, ids as bytes) into pieces."""
 
@@ -123,9 +131,9 @@ class Packer:
         ids = np.frombuffer(stream, "<u4")
         ends = np.cumsum([len(d[1]) // 4 for d in self.docs])
         price = np.full(len(ids) + 1, np.inf)
-        price[STEP :: STEP] = INSIDE
         price[self.bounds.sentence_cuts(ids)] = SENTENCE
         price[ends] = 0.0
+        price[steps_inside(np.flatnonzero(np.isfinite(price)))] = INSIDE
         cuts = np.flatnonzero(np.isfinite(price))
         cuts = cuts[cuts > 0]
         points = plan(cuts.tolist(), price[cuts].tolist(), self.length, close)
@@ -171,4 +179,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         yield from made(packer.flush(True))
 
     names = [f.split()[0] for f in SCHEMA.split(", ")]
-    return docs.selectExpr(f"`{id_col}`", f"`{text_col}` as __text").mapInArrow(run, SCHEMA.replace("doc_id", f"`{id_col}`", 1))
+    return docs.selectExpr(f"`{id_col}`", f"`{text_col}` as __text").mapInArrow(tidied(run), SCHEMA.replace("doc_id", f"`{id_col}`", 1))
