@@ -2,7 +2,7 @@
 
 A conversation's rows, by turn, become windows of formatted text. The prefix
 sums of the turns' tokens choose turn-aligned spans: a window takes as many
-new turns as the budget allows beside the system turns so far, which every
+new turns, as formatted with their marks and escapes, as the budget allows beside the system turns so far, which every
 later window retains whatever their length (equal ones once), and a limited
 history of turns already shown. Only assistant turns
 that are new in a window stand under its loss mask, so each is a target once.
@@ -13,7 +13,7 @@ takes one away. Windows never cut a turn: one that is over the budget by
 itself, or with the system turns, stands in a window marked over_budget.
 
 Null texts and roles are empty; null conversation ids form one conversation;
-null turns come first. Rows with equal turns are ordered by role, then text.
+ids are integers, or strings that hold one. Null turns come first. Rows with equal turns are ordered by role, then text.
 Repeated rows are turns of their own. An empty table gives no windows. Extra
 columns are not carried. A conversation streams through its task turn by
 turn: memory holds a window, the history and the system turns, never the
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import bounded, tidied
 from lorekeep.llm.tokenize import default_path, encoder
 
 #: Markers of the template.
@@ -127,7 +128,9 @@ def format_windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col
                     if current is not None:
                         out.append(current.close())
                     current = Windows(conv, budget, history)
-                made = list(current.add(role, text, len(encode(text)) // 4 + 8))
+                # a turn ends in a newline and begins with a mark, where the vocabulary's pieces part:
+                # the tokens of a window are the sum of those of its turns
+                made = list(current.add(role, text, len(encode(_turn(role, text)[0])) // 4))
                 out += made
                 size += len(text) + sum(len(m[2]) for m in made)
                 if size > 8 << 20:
@@ -137,7 +140,7 @@ def format_windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col
             out.append(current.close())
         yield _batch(out)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(tidied(run), SCHEMA)
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -192,4 +195,4 @@ def read_back(windows: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in READ_SCHEMA.split(", ")])
 
-    return dealt.mapInArrow(run, READ_SCHEMA)
+    return dealt.mapInArrow(tidied(run), READ_SCHEMA)
