@@ -9,10 +9,12 @@ Spark writes to can hold them; `archive_bytes` of a table's rows in order is a
 valid .warc file.
 
 Null html is an empty payload; null urls become "urn:page:<id>". Blanks in
-urls are percent-encoded, since header lines are split at blanks. Repeated
-page ids with equal payloads are one response and revisits of it told apart
-by order only; an empty table gives an empty archive. Columns that clash with
-result names are not carried.
+urls are percent-encoded, since header lines are split at blanks. Null page
+ids count as smaller than all others; their records bear no page id. Rows
+that repeat a page id are records of their own, judged each by its payload:
+with an equal payload all are the response or all revisit the same page. An
+empty table gives an empty archive, a long payload one long record. Only id,
+url and html are read, so clashing columns do no harm.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import columns_as_bytes, map_texts, salt_of, stash
+from lorekeep.llm.common import columns_as_bytes, salt_of, scratch, stash, tidied
 
 #: Field names of the ARC header lines by version (fixed values of the format).
 ARC_FIELDS = {
@@ -117,16 +119,18 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def convert(fields: dict[str, str], block: bytes, refers_to: str | None, refers_url: str | None) -> bytes:
+def convert(fields: dict[str, str], block: bytes, refers_to: str | None, refers_url: str | None, revisit: bool | None = None) -> bytes:
     """The WARC record that stands for an ARC record.
 
     refers_to: the page whose response holds the same payload, or None.
+    revisit: whether there is such a page; it may be one without an id.
     """
+    revisit = refers_to is not None if revisit is None else revisit
     head, _, payload = block.partition(b"\r\n\r\n")
     page = (re.search(rb"(?im)^X-Page-Id: *(\S+)", head) or [b"", b""])[1].decode()
     url, date = fields["url"], warc_date(fields["date"])
     headers = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(page, url)),
         ("WARC-Date", date),
         ("WARC-Target-URI", url),
@@ -134,11 +138,14 @@ def convert(fields: dict[str, str], block: bytes, refers_to: str | None, refers_
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"),
         ("WARC-Payload-Length", str(len(payload))),
-        ("WARC-Page-Id", page),
     ]
-    if refers_to is None:
+    if page:
+        headers.append(("WARC-Page-Id", page))
+    if not revisit:
         return warc_record(headers, block)
-    headers += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(refers_to, refers_url or "")), ("WARC-Refers-To-Page-Id", refers_to), ("WARC-Truncated", "length")]
+    headers += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(refers_to or "", refers_url or "")), ("WARC-Truncated", "length")]
+    if refers_to is not None:
+        headers.append(("WARC-Refers-To-Page-Id", refers_to))
     return warc_record(headers, head + b"\r\n\r\n")
 
 
@@ -168,24 +175,18 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 # -- on tables ---------------------------------------------------------------
 
 
-def first_holders(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """(id, refers_to, refers_url) of the pages whose payload an earlier page holds.
+def first_holders(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """(id, digest, refers_to, refers_url) of the pages (id, url, digest, size) whose payload an earlier page holds.
 
     Digests are grouped with a salt first: a payload that a third of all pages
     share reaches its group as a bounded number of rows.
     """
-
-    def setup():
-        return lambda html: (hashlib.sha256(html or b"").digest(), len(html or b""))
-
-    digests = map_texts(pages.select(id_col, url_col, html_col), html_col, "digest binary, size bigint", setup, keep=[id_col, url_col])
-    digests = stash(digests.where(F.col("size") >= least_bytes).withColumn("salt", salt_of(id_col)), "payloads")
-    least = F.min(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url")))
-    parts = digests.groupBy("digest", "salt").agg(least.alias("low"), F.count(F.lit(1)).alias("n"))
+    digests = stash(pages.select("id", "url", "digest").where(F.col("size") >= least_bytes).withColumn("salt", salt_of("id")), "payloads")
+    parts = digests.groupBy("digest", "salt").agg(F.min(F.struct("id", "url")).alias("low"), F.count(F.lit(1)).alias("n"))
     groups = parts.groupBy("digest").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).where("n > 1")
-    dealt = groups.select("digest", "low", F.explode("salts").alias("salt"))
-    found = digests.join(dealt.hint("merge"), ["digest", "salt"])
-    return found.where(~F.col(id_col).eqNullSafe(F.col("low.id"))).select(F.col(id_col).alias("__id"), F.col("low.id").alias("refers_to"), F.col("low.url").alias("refers_url")).distinct()
+    dealt = stash(groups.select("digest", "low", F.explode("salts").alias("salt")), "holders")
+    found = digests.join(dealt.hint("merge"), ["digest", "salt"]).where(~F.col("id").eqNullSafe(F.col("low.id")))
+    return stash(found.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("low.id").alias("refers_to"), F.col("low.url").alias("refers_url")).distinct(), "twins")
 
 
 def safe_url(url: str | None, page) -> str:
@@ -194,9 +195,12 @@ def safe_url(url: str | None, page) -> str:
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, arc_version: int = 2) -> DataFrame:
     """Rows (archive string, segment long, archive_bytes binary): the converted archives."""
-    pages = pages.select(id_col, url_col, html_col)
-    twins = first_holders(pages, id_col, url_col, html_col, least_bytes)
-    source = pages.join(twins, pages[id_col].eqNullSafe(F.col("__id")), "left").select(F.col(id_col).cast("string").alias("page"), F.col(url_col).alias("url"), F.col("refers_to").cast("string").alias("refers_to"), "refers_url", F.col(html_col).alias("__text"))
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"))
+    keyed = rows.withColumns({"digest": F.unhex(F.sha2("html", 256)), "size": F.octet_length("html")})
+    twins = first_holders(keyed, least_bytes)
+    joined = keyed.join(twins, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    source = joined.select(F.col("id").cast("string").alias("page"), "url", F.col("__digest").isNotNull().alias("revisit"), F.col("refers_to").cast("string").alias("refers_to"), "refers_url", F.col("html").alias("__text"))
 
     def run(batches: Iterable[pa.RecordBatch]):
         from pyspark import TaskContext
@@ -207,13 +211,13 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([segment], pa.int64()), pa.array([b"".join(out)], pa.binary())], names=["archive", "segment", "archive_bytes"])
 
         for batch in batches:
-            plain = [batch.column(i).to_pylist() for i in range(4)]
-            for page, url, refers, refers_url, html in zip(*plain, columns_as_bytes(batch, "__text"), strict=True):
-                payload = html or b""
-                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {page}\r\n\r\n".encode() + payload
+            plain = [batch.column(i).to_pylist() for i in range(5)]
+            for page, url, revisit, refers, refers_url, payload in zip(*plain, columns_as_bytes(batch, "__text"), strict=True):
+                mark = "" if page is None else f"X-Page-Id: {page}\r\n"
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{mark}\r\n".encode() + payload
                 arc = arc_version_block(name, arc_version) + arc_record(arc_version, {"url": safe_url(url, page), "date": "20240101000000", "type": "text/html"}, http)
                 for fields, block in read_arc(arc):
-                    record = convert(fields, block, refers, None if refers is None else safe_url(refers_url, refers))
+                    record = convert(fields, block, refers, safe_url(refers_url, refers) if revisit else None, revisit)
                     out.append(record)
                     size += len(record)
                 if size >= SEGMENT_BYTES:
@@ -222,7 +226,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if out:
             yield row()
 
-    return source.mapInArrow(run, "archive string, segment bigint, archive_bytes binary")
+    return source.mapInArrow(tidied(run), "archive string, segment bigint, archive_bytes binary")
 
 
 def read_archives(archives: DataFrame, column: str = "archive_bytes") -> DataFrame:
@@ -240,18 +244,20 @@ def read_archives(archives: DataFrame, column: str = "archive_bytes") -> DataFra
                     if h["warc-type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ArchiveError("payload digest differs")
                     size = len(payload) if h["warc-type"] == "response" else int(h["warc-payload-length"])
-                    rows.append((h["warc-page-id"], h["warc-target-uri"], h["warc-record-id"], h["warc-date"], size, digest, h["warc-type"], h.get("warc-refers-to-page-id")))
+                    rows.append((h.get("warc-page-id"), h["warc-target-uri"], h["warc-record-id"], h["warc-date"], size, digest, h["warc-type"], h.get("warc-refers-to-page-id")))
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 4 else pa.string()) for i, c in enumerate(columns)], names=names)
 
     schema = "page string, target_uri string, record_id string, warc_date string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
     names = [x.split()[0] for x in schema.split(", ")]
-    return archives.select(column).mapInArrow(run, schema)
+    return archives.select(column).mapInArrow(tidied(run), schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100) -> DataFrame:
     """Writes the archives into the shared folder and reads them back."""
     kind = pages.schema[id_col].dataType
-    read = read_archives(stash(write_archives(pages, id_col, url_col, html_col, least_bytes), "archives"))
+    with scratch(pages.sparkSession) as keep:
+        archives = keep(write_archives(pages, id_col, url_col, html_col, least_bytes), "archives")
+    read = read_archives(archives)
     return read.select(F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "record_id", "warc_date", "target_uri")
