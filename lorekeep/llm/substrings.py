@@ -23,10 +23,12 @@ is a shard of its own, so no shard grows with a popular passage.
 
 Null and empty texts have no words. Rows that repeat an id with an equal text
 are one document and get equal results; windows at the same id and start are
-not earlier than each other. Null ids count as smaller than all others. An
-empty table gives an empty result; extra columns are not carried. Words are
-compared by 64-bit hashes only to find anchors; windows are compared word by
-word.
+not earlier than each other. Rows that repeat an id with different texts are
+documents of their own: a hash of the text breaks the tie between their ids,
+so that one copy of what they share stays. Null ids count as smaller than all
+others. An empty table gives an empty result; extra columns are not carried.
+Words are compared by 64-bit hashes only to find anchors; windows are compared
+word by word.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import chunks, columns_as_bytes, gram_hashes, repeated_only, salt_of, split_by, stash, word_hashes
+from lorekeep.llm.common import chunks, columns_as_bytes, gram_hashes, repeated_only, salt_of, scratch, split_by, stash, tidied, word_hashes
 
 WIDTH = 20
 ANCHOR = 8
@@ -140,7 +142,7 @@ def anchor_places(anchors: np.ndarray, hashes: np.ndarray, width: int) -> np.nda
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_words, digest, anchors) of each document."""
+    """(doc_id, own, n_words, digest, anchors) of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -156,18 +158,18 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
                     found.append(anchor_places(anchors_of(own, width), own, width).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n_words", "digest", "anchors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "own", "n_words", "digest", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, digest binary, anchors array<bigint>")
+    return docs.select("doc_id", "own", "__text").mapInArrow(tidied(run), "doc_id bigint, own bigint, n_words bigint, digest binary, anchors array<bigint>")
 
 
-STRETCH = "shard bigint, doc_id bigint, start bigint, stop bigint, words binary"
+STRETCH = "shard bigint, doc_id bigint, own bigint, start bigint, stop bigint, words binary"
 
 
 def _stretches(width: int):
     """Documents with their repeated anchors -> stretches for the shards.
 
-    Rows come by ascending doc_id. A stretch that this task has seen at an
+    Rows come by ascending (doc_id, own). A stretch that this task has seen at an
     earlier place needs no shard: its row has no words and says what to remove.
     """
 
@@ -175,10 +177,10 @@ def _stretches(width: int):
         seen: dict[bytes, tuple] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text, anchors, hot in zip(batch.column(0).to_pylist(), columns_as_bytes(batch, "__text"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc_id, own, text, anchors, hot in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), columns_as_bytes(batch, "__text"), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 words = (text or b"").split()
-                own, _ = word_hashes([text or b""])
-                owner = anchors_of(own, width).view(np.int64)
+                hashes, _ = word_hashes([text or b""])
+                owner = anchors_of(hashes, width).view(np.int64)
                 wanted = np.isin(owner, np.array(anchors, np.int64))
                 single = np.isin(owner, np.array(hot, np.int64)) if hot else np.zeros(len(owner), bool)
                 cut = np.ones(len(owner), bool)
@@ -189,14 +191,14 @@ def _stretches(width: int):
                     stretch = b" ".join(words[a : b + width - 1])
                     key = hashlib.blake2b(stretch, digest_size=16).digest()
                     before = seen.get(key)
-                    if before is not None and before < (doc_id, a):
-                        rows.append((None, doc_id, a, b + width - 1, None))
+                    if before is not None and before < (doc_id, own, a):
+                        rows.append((None, doc_id, own, a, b + width - 1, None))
                         continue
                     if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen[key] = (doc_id, a)
+                    seen[key] = (doc_id, own, a)
                     shard = int.from_bytes(key[:8], "little", signed=True) if single[a] else int(owner[a])
-                    rows.append((shard, doc_id, a, b + width - 1, stretch))
+                    rows.append((shard, doc_id, own, a, b + width - 1, stretch))
                 if len(rows) > 20_000:
                     yield _stretch_batch(rows)
                     rows = []
@@ -208,11 +210,11 @@ def _stretches(width: int):
 
 def _stretch_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(columns)], names=["shard", "doc_id", "start", "stop", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(columns)], names=["shard", "doc_id", "own", "start", "stop", "words"])
 
 
 class Shard:
-    """Stretches of one shard, in order of (doc_id, start)."""
+    """Stretches of one shard, in order of (doc_id, own, start)."""
 
     def __init__(self, width: int):
         self.width = width
@@ -220,9 +222,9 @@ class Shard:
         self.first: list[bytes] | None = None  # waits until a second content comes
         self.known: dict[bytes, tuple] = {}
 
-    def covered(self, doc_id: int, start: int, stretch: bytes) -> list[tuple[int, int]]:
+    def covered(self, doc_id: int, own: int, start: int, stretch: bytes) -> list[tuple[int, int]]:
         """Spans of the document, in words, whose windows came earlier."""
-        here = (doc_id, start)
+        here = (doc_id, own, start)
         before = self.known.get(stretch)
         words = stretch.split(b" ")
         if before is not None:
@@ -263,11 +265,11 @@ def _judge(width: int):
         key, shard = None, None
         for batch in batches:
             rows = []
-            for k, doc_id, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, doc_id, own, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard is None or k != key:
                     key, shard = k, Shard(width)
-                rows += [(doc_id, a, b) for a, b in shard.covered(doc_id, start, words)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["doc_id", "start", "stop"])
+                rows += [(doc_id, own, a, b) for a, b in shard.covered(doc_id, own, start, words)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "own", "start", "stop"])
 
     return run
 
@@ -282,32 +284,36 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: What tells documents apart: the id, and among rows of one id a hash of the text.
+ROW = ["doc_id", "own"]
+
+
 def removed_spans(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(survey, ids covered whole, spans (doc_id, start, stop)) of (doc_id, __text) rows."""
+    """(survey, documents covered whole, spans (doc_id, own, start, stop)) of (doc_id, own, __text) rows."""
     survey = stash(_survey(docs, width), "survey")
-    keyed = survey.where(F.col("n_words") >= width).select("doc_id", "digest", salt_of("doc_id").alias("salt"))
-    parts = keyed.groupBy("digest", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    keyed = survey.where(F.col("n_words") >= width).select(*ROW, "digest", salt_of(*ROW).alias("salt"))
+    parts = keyed.groupBy("digest", "salt").agg(F.min(F.struct(*ROW)).alias("low"), F.max(F.struct(*ROW)).alias("high"))
     classes = parts.groupBy("digest").agg(F.min("low").alias("first"), F.max("high").alias("top"), F.collect_list("salt").alias("salts")).where("first < top")
-    dealt = classes.select("digest", "first", F.explode("salts").alias("salt"))
-    copies = stash(keyed.join(dealt.hint("merge"), ["digest", "salt"]).where("doc_id > first").select("doc_id").distinct(), "copies")
+    dealt = stash(classes.select("digest", "first", F.explode("salts").alias("salt")), "dealt")
+    copies = stash(keyed.join(dealt.hint("merge"), ["digest", "salt"]).where(F.struct(*ROW) > F.col("first")).select(*ROW).distinct(), "copies")
 
-    maybe, alone = split_by(survey.select("doc_id", "anchors"), "doc_id", copies)
-    once = alone.unionByName(maybe.join(copies, "doc_id", "left_anti"))
-    shared = repeated_only(once.select("doc_id", F.explode("anchors").alias("h")), "h")
-    held = stash(shared.groupBy("doc_id").agg(F.collect_set("h").alias("anchors"), F.collect_set(F.when(F.col("df") > hot, F.col("h"))).alias("hot")), "held")
+    maybe, alone = split_by(survey.select(*ROW, "anchors"), "doc_id", copies)
+    once = alone.unionByName(maybe.join(copies, ROW, "left_anti"))
+    shared = repeated_only(once.select(*ROW, F.explode("anchors").alias("h")), "h")
+    held = stash(shared.groupBy(*ROW).agg(F.collect_set("h").alias("anchors"), F.collect_set(F.when(F.col("df") > hot, F.col("h"))).alias("hot")), "held")
 
     texts, _ = split_by(docs, "doc_id", held)
-    joined = texts.join(held.hint("merge"), "doc_id").select("doc_id", "__text", "anchors", "hot").sortWithinPartitions("doc_id")
-    found = stash(joined.mapInArrow(_stretches(width), STRETCH), "stretches")
-    shards = found.where("words is not null").select("shard", "doc_id", "start", "words").repartition("shard").sortWithinPartitions("shard", "doc_id", "start")
-    spans = shards.mapInArrow(_judge(width), "doc_id bigint, start bigint, stop bigint").unionByName(found.where("words is null").select("doc_id", "start", "stop"))
-    return survey, copies, spans
+    joined = texts.join(held.hint("merge"), ROW).select(*ROW, "__text", "anchors", "hot").sortWithinPartitions(*ROW)
+    found = stash(joined.mapInArrow(tidied(_stretches(width)), STRETCH), "stretches")
+    shards = found.where("words is not null").select("shard", *ROW, "start", "words").repartition("shard").sortWithinPartitions("shard", *ROW, "start")
+    judged = shards.mapInArrow(tidied(_judge(width)), "doc_id bigint, own bigint, start bigint, stop bigint")
+    return survey, copies, judged.unionByName(found.where("words is null").select(*ROW, "start", "stop"))
 
 
 def _cut(batches: Iterable[pa.RecordBatch]):
     for batch in batches:
         out = []
-        for text, spans in zip(columns_as_bytes(batch, "__text"), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(columns_as_bytes(batch, "__text"), batch.column(3).to_pylist(), strict=True):
             words, kept, at, gone = (text or b"").split(), [], 0, 0
             for a, b in merged([(s["start"], s["stop"]) for s in spans]):
                 kept += words[at:a]
@@ -316,7 +322,7 @@ def _cut(batches: Iterable[pa.RecordBatch]):
             kept += words[at:]
             text = b" ".join(kept)
             out.append((gone, hashlib.sha256(text).hexdigest(), text))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out], pa.binary()).cast(pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out], pa.binary()).cast(pa.string())], names=["doc_id", "own", "n_removed", "kept_sha256", "kept_text"])
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -327,17 +333,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     kept_text is null where nothing is removed (the text stays as it is).
     """
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
-    survey, copies, spans = removed_spans(rows, width, hot)
-    cuts = stash(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
-    texts, _ = split_by(rows, "doc_id", cuts)
-    cut = texts.join(cuts.hint("merge"), "doc_id").select("doc_id", "__text", "spans").mapInArrow(_cut, "doc_id bigint, n_removed bigint, kept_sha256 string, kept_text string").distinct()
-    done = cut.unionByName(copies.select("doc_id", F.lit(None).cast("bigint").alias("n_removed"), F.lit(EMPTY).alias("kept_sha256"), F.lit("").alias("kept_text")))
-    out = survey.select("doc_id", "n_words", F.lower(F.hex("digest")).alias("own")).join(done.hint("merge"), "doc_id", "left")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own"), text.alias("__text"))
+    with scratch(docs.sparkSession) as keep:
+        survey, copies, spans = removed_spans(rows, width, hot)
+        cuts = stash(spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "cuts")
+        texts, _ = split_by(rows, "doc_id", cuts)
+        cut = texts.join(cuts.hint("merge"), ROW).select(*ROW, "__text", "spans").mapInArrow(tidied(_cut), "doc_id bigint, own bigint, n_removed bigint, kept_sha256 string, kept_text string").dropDuplicates(ROW)
+        done = keep(cut.unionByName(copies.select(*ROW, F.lit(None).cast("bigint").alias("n_removed"), F.lit(EMPTY).alias("kept_sha256"), F.lit("").alias("kept_text"))), "done")
+        base = keep(survey.select(*ROW, "n_words", F.lower(F.hex("digest")).alias("whole")), "base")
+    out = base.join(done.hint("merge"), ROW, "left")
     return out.select(
         F.nullif("doc_id", F.lit(NULL_ID)).alias(id_col),
         "n_words",
         F.when(F.col("kept_sha256").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words")).alias("n_removed"),
-        F.coalesce("kept_sha256", "own").alias("kept_sha256"),
+        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
         "kept_text",
     )
