@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from lorekeep.plans.registry import query
 from lorekeep.sources.tables import table
 
-EDGES_SQL = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1 AND l_suppkey <= 40)"
+EDGES_SQL = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every lineitem row is a link; EDGES_SQL covers a part of them."""
+    """Every lineitem row is a link."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
 
@@ -28,7 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lorekeep")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints/lorekeep")
     return df.checkpoint()
 
 
@@ -153,15 +156,20 @@ def call_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-CALL: same file, else the one imported definition, else the only one, else ambiguous."""
     defs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("f"), (F.col("c_custkey") % 97).cast("string")).alias("name"), F.col("c_nationkey").alias("dfile"))
     calls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.concat(F.lit("f"), (F.col("o_custkey") % 131).cast("string")).alias("name"), (F.col("o_orderkey") % 25).cast("int").alias("file"))
-    imports = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file"), F.col("n_regionkey").alias("dfile"), F.lit(True).alias("imported"))
-    c = calls.join(defs, "name", "left").join(imports, ["file", "dfile"], "left")
-    tier = F.when(F.col("id").isNull(), None).when(F.col("dfile") == F.col("file"), 1).when(F.col("imported"), 2).otherwise(3)
-    t = c.withColumn("tier", tier).groupBy("call_id").agg(F.min(F.when(F.col("tier") == 1, F.col("id"))).alias("own"), F.count_if(F.col("tier") == 2).alias("n2"), F.min(F.when(F.col("tier") == 2, F.col("id"))).alias("i2"), F.count("id").alias("n"), F.min("id").alias("any_id"))
+    imports = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file"), F.col("n_regionkey").alias("dfile")).distinct()
+    # definitions are counted by (name, file) and by name; calls of a name in a file are resolved once
+    per_file = defs.groupBy("name", "dfile").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("low"))
+    per_name = per_file.groupBy("name").agg(F.sum("k").alias("n"), F.min("low").alias("any_id"))
+    asked = calls.select("name", "file").distinct()
+    own = per_file.select("name", F.col("dfile").alias("file"), F.col("low").alias("own"))
+    imported = asked.join(imports, "file").where(F.col("dfile") != F.col("file")).join(per_file, ["name", "dfile"]).groupBy("name", "file").agg(F.sum("k").alias("n2"), F.min("low").alias("i2"))
+    found = asked.join(per_name, "name", "left").join(own, ["name", "file"], "left").join(imported, ["name", "file"], "left").fillna(0, ["n", "n2"])
+    t = calls.join(found, ["name", "file"])
     one = (F.col("n2") == 0) & (F.col("n") == 1)
     return t.select("call_id", F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("n2") == 1, F.col("i2")).when(one, F.col("any_id")).alias("target"), F.when(F.col("own").isNotNull(), "same file").when(F.col("n2") == 1, "import").when(one, "unique").when(F.col("n") > 0, "ambiguous").otherwise("external").alias("how"))
 
 
-_SPANS_SQL = "spans AS (SELECT o_orderkey AS sym, o_custkey AS file, (o_orderkey % 50) * 4 AS first, (o_orderkey % 50) * 4 + 10 + o_orderkey % 60 AS last FROM orders), marks AS (SELECT l_orderkey AS mark, l_suppkey AS file, (l_partkey % 240) AS line FROM lineitem WHERE l_linenumber = 2)"
+_SPANS_SQL = "spans AS (SELECT o_orderkey AS sym, o_custkey AS file, (o_orderkey % 50) * 4 AS first, (o_orderkey % 50) * 4 + 10 + o_orderkey % 60 AS last FROM orders), marks AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS mark, l_suppkey AS file, (l_partkey % 240) AS line FROM lineitem)"
 
 
 @query(f"WITH {_SPANS_SQL} SELECT mark, m.file, line, arg_min(sym, (last - first) * 100000000 + sym) AS caller FROM marks m JOIN spans s ON s.file = m.file AND line BETWEEN first AND last GROUP BY ALL")
@@ -190,8 +198,8 @@ def innermost(marks: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SPANS_SQL}, hunks AS (SELECT mark, file, line AS a, line + 6 AS b FROM marks), h AS (SELECT mark, sym, first, last FROM hunks JOIN spans USING (file) WHERE first <= b AND last >= a)
-    SELECT DISTINCT mark, sym FROM h WHERE NOT EXISTS (SELECT 1 FROM h i WHERE i.mark = h.mark AND i.sym <> h.sym AND i.first >= h.first AND i.last <= h.last AND (i.last - i.first) < (h.last - h.first))"""
+    f"""WITH {_SPANS_SQL}, hunks AS (SELECT mark, file, line AS a, line + 6 AS b FROM marks), h AS (SELECT mark, file, a, sym, first, last FROM hunks JOIN spans USING (file) WHERE first <= b AND last >= a)
+    SELECT DISTINCT mark, sym FROM h WHERE NOT EXISTS (SELECT 1 FROM h i WHERE i.mark = h.mark AND i.file = h.file AND i.a = h.a AND i.sym <> h.sym AND i.first >= h.first AND i.last <= h.last AND (i.last - i.first) < (h.last - h.first))"""
 )
 def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-HUNK: symbols that changed line ranges touch, without those that hold another touched one."""
@@ -206,7 +214,7 @@ def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT o_custkey AS script, o_orderkey AS col, o_orderpriority AS name FROM orders), q AS (SELECT l_orderkey * 8 + l_linenumber AS query_id, l_partkey % 150 + 1 AS script, l_orderkey AS col FROM lineitem WHERE l_linenumber <= 2)
+    """WITH m AS (SELECT o_custkey AS script, o_orderkey AS col, o_orderpriority AS name FROM orders), q AS (SELECT l_orderkey * 8 + l_linenumber AS query_id, l_partkey % 150 + 1 AS script, l_orderkey AS col FROM lineitem)
     SELECT query_id, q.script, q.col, m.col AS segment, m.name FROM q ASOF LEFT JOIN m ON q.script = m.script AND q.col >= m.col"""
 )
 def asof_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +240,7 @@ def card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EDGES_SQL}, c AS (SELECT DISTINCT src AS dependant, dst AS node FROM edges WHERE src IN ('s1', 's2', 's3')), i AS (SELECT DISTINCT 'c' || l_suppkey AS dependant, 'p' || l_partkey AS node FROM lineitem WHERE l_linenumber = 2 AND l_suppkey <= 3)
+    f"""WITH {EDGES_SQL}, c AS (SELECT DISTINCT src AS dependant, dst AS node FROM edges), i AS (SELECT DISTINCT 'c' || l_suppkey AS dependant, 'p' || l_partkey AS node FROM lineitem)
     SELECT dependant, node FROM c UNION SELECT dependant, node FROM i"""
 )
 def dependants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,5 +276,10 @@ def proof_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-PROOF: best proof tier of a mention among its candidates, and their number."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("file"), (F.col("c_custkey") % 50).alias("k"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mention"), "o_custkey", (F.col("o_custkey") % 50).alias("k"))
-    tier = F.when((F.col("o_custkey") == F.col("id")) & (F.col("mention") % 25 == F.col("file")), 0).when(F.col("o_custkey") == F.col("id"), 1).otherwise(2)
-    return o.join(c, "k").groupBy("mention").agg(F.min(tier).alias("tier"), F.count(F.lit(1)).alias("candidates"))
+    # only a candidate of the same key proves more than the class: two equi-joins instead of all pairs of a class
+    per_class = c.groupBy("k").agg(F.count(F.lit(1)).alias("candidates"))
+    named = c.groupBy(F.col("id").alias("o_custkey")).agg(F.lit(True).alias("named"))
+    placed = c.select(F.col("id").alias("o_custkey"), F.col("file").cast("bigint").alias("place")).distinct().withColumn("placed", F.lit(True))
+    joined = o.withColumn("place", (F.col("mention") % 25).cast("bigint")).join(per_class, "k").join(named, "o_custkey", "left").join(placed, ["o_custkey", "place"], "left")
+    tier = F.when(F.col("placed"), 0).when(F.col("named"), 1).otherwise(2)
+    return joined.groupBy("mention").agg(F.min(tier).alias("tier"), F.sum("candidates").alias("candidates"))

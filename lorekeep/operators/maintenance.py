@@ -144,7 +144,7 @@ def edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT l_orderkey AS file, l_linenumber AS edit, l_partkey % 90 AS a, l_partkey % 90 + l_suppkey % 7 AS b FROM lineitem WHERE l_orderkey % 10 = 1)
+    """WITH e AS (SELECT l_orderkey AS file, l_linenumber AS edit, l_partkey % 90 AS a, l_partkey % 90 + l_suppkey % 7 AS b FROM lineitem)
     SELECT DISTINCT x.file, x.edit AS first_edit, y.edit AS second_edit FROM e x JOIN e y ON x.file = y.file AND x.edit < y.edit AND x.a <= y.b AND y.a <= x.b"""
 )
 def edit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

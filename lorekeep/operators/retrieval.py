@@ -33,21 +33,33 @@ def question_terms(bm: DataFrame) -> DataFrame:
     return bm.select("item_id", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term"))
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+#: Rows up to which question terms are sent to all tasks.
+SENT = 300_000
+
+
+def sender(terms: DataFrame):
+    """A hint for tables of at most one row a question term: a broadcast where these are few, as counted."""
+    return F.broadcast if terms.limit(SENT + 1).count() <= SENT else lambda df: df
+
+
+def postings(docs: DataFrame, vocabulary: DataFrame, sent=lambda df: df) -> DataFrame:
     """(doc_id, doc_len, term, tf) of the terms in the vocabulary."""
     body = docs.select("doc_id", tx.words(F.coalesce("text", F.lit(""))).alias("w"))
-    tokens = body.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term")).join(vocabulary.select("term").distinct(), "term", "left_semi")
+    tokens = body.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term")).join(sent(vocabulary.select("term").distinct()), "term", "left_semi")
+    # dealt by document: scores are summed by document later on, without another exchange of all matches
+    tokens = tokens.repartition("doc_id")
     return tokens.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(item_id, doc_id, score) of every matching pair; idf = ln(1 + (N-df+.5)/(df+.5))."""
-    stat = docs.select(F.size(tx.words(F.coalesce("text", F.lit("")))).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg_len"))
-    post = postings(docs, terms)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stat = docs.select(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(tx.WORDS)).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg_len"))
+    sent = sender(terms)
+    post = postings(docs, terms, sent)
+    df = sent(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     tf, length = F.col("tf"), F.col("doc_len")
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("avg_len")))
-    joined = post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stat))  # stat is one row
+    joined = post.join(df, "term").join(sent(terms), "term").crossJoin(F.broadcast(stat))  # stat is one row
     return joined.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
 
 
@@ -66,8 +78,23 @@ EXPECTED_SQL = "expected AS (SELECT item_id, doc_id FROM documents d JOIN benchm
 
 
 def expected(docs: DataFrame, bm: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents that hold the question's text literally."""
-    return docs.select("doc_id", "text").join(bm.select("item_id", F.col("text").alias("q")), F.contains("text", "q")).select("item_id", "doc_id")
+    """(item_id, doc_id): documents that hold the question's text literally.
+
+    What stands between blanks inside a question stands so in a document that
+    holds it: two such words in a row are the key of an equi-join, and the
+    text is compared after it. Questions of fewer than four words have no such
+    key and are compared with all documents, as a set of their own.
+    """
+    q = bm.select("item_id", F.col("text").alias("q"), F.split("text", " ").alias("w"))
+    pair = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1))
+    keyed = q.where(F.size("w") >= 4).select("item_id", "q", pair(F.col("w"), F.lit(2)).alias("key"))
+    d = docs.select("doc_id", "text", F.split("text", " ").alias("w")).where(F.size("w") >= 4)
+    keys = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: pair(F.col("w"), i)))).alias("key"))
+    near = keys.join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    found = near.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("item_id", "q"), "item_id").where(F.contains("text", "q"))
+    short = q.where(F.size("w") < 4).select("item_id", "q")
+    rest = docs.select("doc_id", "text").join(short, F.contains("text", "q"))
+    return found.select("item_id", "doc_id").unionByName(rest.select("item_id", "doc_id"))
 
 
 @query(
@@ -229,7 +256,7 @@ def df_exact_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fielded search: weights of name, body and their constants.
 FIELDED = {"k1": 1.4, "b": 0.75, "name": 1.0, "body": 0.5, "coverage": 2.0, "path": 0.3, "test": 0.8}
-_QSQL = r"q AS (SELECT item_id, unnest(list_distinct(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 4))) AS term FROM benchmark), nq AS (SELECT item_id, count(*) AS terms FROM q GROUP BY item_id)"
+_QSQL = r"q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark), nq AS (SELECT item_id, count(*) AS terms FROM q GROUP BY item_id)"
 _FSQL = rf"""WITH {FILES_SQL}, {_QSQL},
  hd AS (SELECT file_id, path, regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{{L}}\p{{N}}]+') AS name, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS body FROM files),
  st AS (SELECT count(*) AS n, greatest(avg(len(name)), 1) AS an, greatest(avg(len(body)), 1) AS ab FROM hd),
@@ -249,19 +276,21 @@ def _fielded(spark: SparkSession, sf_dir: str):
     q = question_terms(table(spark, sf_dir, "benchmark"))
     hd = f.select("file_id", tx.words(F.split("text", "\n")[0]).alias("name"), tx.words(F.col("text")).alias("body"))
     st = hd.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size("name")), F.lit(1.0)).alias("an"), F.greatest(F.avg(F.size("body")), F.lit(1.0)).alias("ab"))
-    vocab = q.select("term").distinct()
+    sent = sender(q)
+    vocab, asked = sent(q.select("term").distinct()), sent(q)
 
     def field(name):
-        t = hd.select("file_id", F.size(name).alias("l"), F.explode(name).alias("term")).join(vocab, "term", "left_semi")
+        t = hd.select("file_id", F.size(name).alias("l"), F.explode(name).alias("term")).join(vocab, "term", "left_semi").repartition("file_id")
         p = t.groupBy("file_id", "l", "term").agg(F.count(F.lit(1)).alias("tf"))
         d = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(st)).select("term", F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"), "an", "ab")
-        return p, d
+        return p, sent(d)
 
     (np_, nd), (bp, bd) = field("name"), field("body")
     score = lambda weight, avg: (weight * F.col("idf") * F.col("tf") * 2.4 / (F.col("tf") + 1.4 * (0.25 + 0.75 * F.col("l") / F.col(avg)))).alias("s")
-    named = q.join(np_, "term").join(nd, "term").select("item_id", "file_id", score(1.0, "an"), F.col("term").alias("seen"), "idf")
-    bodied = q.join(bp, "term").join(bd, "term").select("item_id", "file_id", score(0.5, "ab"), F.lit(None).cast("string").alias("seen"), F.lit(None).cast("double").alias("idf"))
-    parts = named.unionByName(bodied)
+    named = np_.join(nd, "term").join(asked, "term").select("item_id", "file_id", score(1.0, "an"), F.col("term").alias("seen"), "idf")
+    bodied = bp.join(bd, "term").join(asked, "term").select("item_id", "file_id", score(0.5, "ab"), F.lit(None).cast("string").alias("seen"), F.lit(None).cast("double").alias("idf"))
+    # sums of a field are by file already; the two fields meet as sums
+    parts = named.groupBy("item_id", "file_id").agg(F.sum("s").alias("s")).unionByName(bodied.groupBy("item_id", "file_id").agg(F.sum("s").alias("s")))
     total = q.join(nd, "term").groupBy("item_id").agg(F.sum("idf").alias("total"))
     covered = named.groupBy("item_id", "file_id").agg(F.sum("idf").alias("covered"))
     return f, parts.groupBy("item_id", "file_id").agg(F.sum("s").alias("s")), total, covered
@@ -319,7 +348,7 @@ def profile_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH q AS (SELECT item_id, unnest(list_distinct(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 6))) AS term FROM benchmark),
+    r"""WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
     p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', ' ', 'g') AS prose FROM pages),
     f AS (SELECT page_id, 3.0 AS w, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS term FROM p UNION ALL SELECT page_id, 1.0, unnest(regexp_extract_all(lower(prose), '[\p{L}\p{N}]+')) FROM p),
     l AS (SELECT page_id, sum(w) AS l FROM f GROUP BY page_id), st AS (SELECT count(*) AS n, avg(l) AS al FROM l),
@@ -334,10 +363,11 @@ def web_bm25f(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = p.select("page_id", (3.0 * F.size("t") + F.size("b")).alias("l")).where("l > 0")
     st = length.agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("al"))
     f = p.select("page_id", F.lit(3.0).alias("w"), F.explode("t").alias("term")).unionByName(p.select("page_id", F.lit(1.0).alias("w"), F.explode("b").alias("term")))
-    tf = f.join(q.select("term").distinct(), "term", "left_semi").groupBy("page_id", "term").agg(F.sum("w").alias("tf"))
-    d = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sent = sender(q)
+    tf = f.join(sent(q.select("term").distinct()), "term", "left_semi").repartition("page_id").groupBy("page_id", "term").agg(F.sum("w").alias("tf"))
+    d = sent(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.5 + 0.5 * F.col("l") / F.col("al")))
-    s = q.join(tf, "term").join(d, "term").join(length, "page_id").crossJoin(F.broadcast(st)).groupBy("item_id", "page_id").agg(F.round(F.sum(part), 4).alias("score"))
+    s = tf.join(d, "term").join(sent(q), "term").join(length, "page_id").crossJoin(F.broadcast(st)).groupBy("item_id", "page_id").agg(F.round(F.sum(part), 4).alias("score"))
     return top(s, 5, "item_id", "page_id")
 
 

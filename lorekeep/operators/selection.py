@@ -6,7 +6,10 @@ changed together.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ HUB = 120
 
 
 @query(
-    f"""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber = 1), deg AS (SELECT dst, count(*) AS n FROM e GROUP BY dst),
+    f"""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), deg AS (SELECT dst, count(*) AS n FROM e GROUP BY dst),
     d1 AS (SELECT DISTINCT src FROM e WHERE dst IN (SELECT p_partkey FROM part WHERE p_partkey % 97 = 0)), d2n AS (SELECT DISTINCT dst FROM e JOIN d1 USING (src) JOIN deg USING (dst) WHERE n <= {HUB}),
     d2 AS (SELECT DISTINCT src FROM e JOIN d2n USING (dst) ANTI JOIN d1 USING (src)), i AS (SELECT src, count(*) AS imports FROM e GROUP BY src)
     SELECT src AS test, round(w / (1 + 0.15 * imports), 6) AS score FROM (SELECT src, 4.0 AS w FROM d1 UNION ALL SELECT src, 1.5 FROM d2) JOIN i USING (src)"""
@@ -92,40 +95,102 @@ def ui_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("symbol").agg((F.sum("w") - F.when(F.col("symbol") % 10 == 0, 50).otherwise(0)).cast("bigint").alias("score"), F.count(F.lit(1)).alias("reasons"))
 
 
-DECAY, FILE_DECAY = 0.85, 0.75
+#: Decay a fact of its seed and kind, of bare names, and of its file for definitions and callees.
+DECAY, BARE_DECAY, FILE_DECAY = 0.85, 0.97, 0.75
+BUDGET = 90
 
 
-def take_greedy(facts: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """Facts by falling value/cost, decayed per (seed, kind) and (file, kind); the first wins ties."""
-    left, used, order = list(facts.itertuples(index=False)), 0, []
-    by_seed: dict = {}
-    by_file: dict = {}
+def greedy_order(facts: list[tuple], budget: int) -> list[tuple[int, float]]:
+    """(fact, ratio) in the order taken, of facts (seed, kind, file, value, cost).
+
+    Each step takes the fact of most value for its cost that still fits, its
+    value decayed by the facts taken of its seed and kind and, for definitions
+    and callees, of its file and kind. Facts other than definitions and bare
+    names wait until a fact of their seed is taken. The first wins ties.
+    """
+    left, by_seed, by_file, opened, taken = list(range(len(facts))), {}, {}, set(), []
     while left:
-        best, best_ratio = -1, 0.0
-        for i, f in enumerate(left):
-            ratio = f.value * DECAY ** by_seed.get((f.seed, f.kind), 0) * FILE_DECAY ** by_file.get((f.file, f.kind), 0) / max(1, f.cost)
-            if used + f.cost <= budget and ratio > best_ratio:
+        best, best_ratio = None, 0.0
+        for i in left:
+            seed, kind, file, value, cost = facts[i]
+            if cost > budget or kind not in ("def", "bare") and seed not in opened:
+                continue
+            decay = (BARE_DECAY if kind == "bare" else DECAY) ** by_seed.get((seed, kind), 0)
+            if kind in ("def", "callee"):
+                decay *= FILE_DECAY ** by_file.get((file, kind), 0)
+            ratio = value * decay / max(1, cost)
+            if best is None or ratio > best_ratio:
                 best, best_ratio = i, ratio
-        if best < 0:
+        if best is None:
             break
-        f = left.pop(best)
-        used += f.cost
-        by_seed[f.seed, f.kind] = by_seed.get((f.seed, f.kind), 0) + 1
-        by_file[f.file, f.kind] = by_file.get((f.file, f.kind), 0) + 1
-        order.append((f.q_id, len(order) + 1, f.fact, int(f.cost), round(best_ratio, 6)))
-    return pd.DataFrame(order, columns=["q_id", "pos", "fact", "cost", "ratio"])
+        seed, kind, file, _, cost = facts[best]
+        left.remove(best)
+        budget -= cost
+        opened.add(seed)
+        by_seed[seed, kind] = by_seed.get((seed, kind), 0) + 1
+        by_file[file, kind] = by_file.get((file, kind), 0) + 1
+        taken.append((best, best_ratio))
+    return taken
+
+
+def take_greedy(facts: pd.DataFrame, budget: int) -> pd.DataFrame:
+    """greedy_order of a question's facts as a table."""
+    rows = list(facts[["seed", "kind", "file", "value", "cost"]].itertuples(index=False, name=None))
+    taken = greedy_order(rows, budget)
+    out = facts.iloc[[i for i, _ in taken]][["q_id", "fact", "cost"]].reset_index(drop=True)
+    return out.assign(pos=range(1, len(taken) + 1), ratio=[round(r, 6) for _, r in taken])[["q_id", "pos", "fact", "cost", "ratio"]]
+
 
+def _greedy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by question, in order -> what is taken; memory holds a question's facts."""
+    question, facts, out = None, [], []
 
-@query(None)
+    def done():
+        out.extend((question, k, i + 1, facts[i][4], round(ratio, 6)) for k, (i, ratio) in enumerate(greedy_order(facts, BUDGET), 1))
+
+    def batch():
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["q_id", "pos", "fact", "cost", "ratio"])
+
+    for part in batches:
+        for q, *fact in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            if q != question:
+                done()
+                question, facts = q, []
+            facts.append(tuple(fact))
+        yield batch()
+        out.clear()
+    done()
+    yield batch()
+
+
+_FACTS_SQL = """f AS (SELECT l_orderkey AS q_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag) AS fact, l_suppkey % 3 AS seed,
+    CASE WHEN l_suppkey % 5 = 0 THEN 'bare' WHEN l_returnflag = 'A' THEN 'def' WHEN l_returnflag = 'N' THEN 'callee' ELSE 'caller' END AS kind, l_partkey AS file, CAST(l_extendedprice AS DOUBLE) AS value, CAST(10 + floor(l_quantity) AS INTEGER) AS cost FROM lineitem)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_FACTS_SQL},
+    g AS (SELECT DISTINCT q_id, CAST(0 AS BIGINT) AS pos, CAST({BUDGET} AS BIGINT) AS room, CAST([] AS STRUCT(fact BIGINT, seed BIGINT, kind VARCHAR, file BIGINT)[]) AS took, CAST(NULL AS BIGINT) AS fact, CAST(NULL AS INTEGER) AS cost, CAST(NULL AS DOUBLE) AS ratio FROM f
+      UNION ALL SELECT q_id, pos + 1, room - x.cost, list_append(took, {{'fact': x.fact, 'seed': x.seed, 'kind': x.kind, 'file': x.file}}), x.fact, x.cost, x.gain FROM (
+        SELECT g.q_id, g.pos, g.room, g.took, f.fact, f.seed, f.kind, f.file, f.cost,
+          f.value * pow(CASE WHEN f.kind = 'bare' THEN {BARE_DECAY} ELSE {DECAY} END, len(list_filter(g.took, lambda t: t.seed = f.seed AND t.kind = f.kind)))
+          * pow({FILE_DECAY}, CASE WHEN f.kind IN ('def', 'callee') THEN len(list_filter(g.took, lambda t: t.file = f.file AND t.kind = f.kind)) ELSE 0 END) / greatest(1, f.cost) AS gain
+        FROM g JOIN f ON f.q_id = g.q_id WHERE f.cost <= g.room AND len(list_filter(g.took, lambda t: t.fact = f.fact)) = 0 AND (f.kind IN ('def', 'bare') OR len(list_filter(g.took, lambda t: t.seed = f.seed)) > 0)
+        QUALIFY row_number() OVER (PARTITION BY g.q_id ORDER BY gain DESC, f.fact) = 1) x)
+    SELECT q_id, pos, fact, cost, round(ratio, 6) AS ratio FROM g WHERE pos > 0"""
+)
 def greedy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BUD-GREEDY: order-dependent choice of facts under a token budget, by question.
 
     A question's candidate facts are bounded by its report (here an order's
-    lines), so a group fits a task.
+    lines): rows stream by question through their task.
     """
     li = table(spark, sf_dir, "lineitem")
-    facts = li.selectExpr("l_orderkey q_id", "l_linenumber fact", "l_suppkey % 3 seed", "l_returnflag kind", "l_partkey file", "cast(l_extendedprice as double) value", "cast(10 + l_quantity as int) cost")
-    return facts.groupBy("q_id").applyInPandas(lambda p: take_greedy(p.sort_values("fact"), 90), "q_id bigint, pos bigint, fact int, cost int, ratio double")
+    kind = F.when(F.col("l_suppkey") % 5 == 0, "bare").when(F.col("l_returnflag") == "A", "def").when(F.col("l_returnflag") == "N", "callee").otherwise("caller")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag"]
+    facts = li.select("l_orderkey", *order, kind.alias("kind")).repartition("l_orderkey").sortWithinPartitions("l_orderkey", *order)
+    rows = facts.selectExpr("l_orderkey", "l_suppkey % 3", "kind", "l_partkey", "cast(l_extendedprice as double)", "cast(10 + l_quantity as int)")
+    return rows.mapInArrow(_greedy, "q_id bigint, pos bigint, fact bigint, cost int, ratio double")
 
 
 @query(

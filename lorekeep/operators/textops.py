@@ -156,23 +156,24 @@ def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SYMS = "syms AS (SELECT file_id, path, line_no AS first, coalesce(lead(line_no) OVER (PARTITION BY file_id ORDER BY line_no) - 1, 1000000) AS last, regexp_extract(line, '^[^ ]*') AS name FROM lines WHERE regexp_matches(line, '^[A-Z]') UNION ALL SELECT file_id, path, 1, 1000000, 'file' FROM files)"
 
 
-def paragraphs(ls: DataFrame) -> DataFrame:
-    """Symbols of the text tree: each line that starts with a capital opens one; a file is one too."""
-    w = Window.partitionBy("file_id").orderBy("line_no")
-    own = ls.where(F.col("line").rlike("^[A-Z]")).select("file_id", F.col("line_no").alias("first"), F.coalesce(F.lead("line_no").over(w) - 1, F.lit(1000000)).alias("last"), F.regexp_extract("line", "^[^ ]*", 0).alias("name"))
-    return own.unionByName(ls.select("file_id").distinct().select("file_id", F.lit(1).cast("bigint").alias("first"), F.lit(1000000).cast("bigint").alias("last"), F.lit("file").alias("name")))
-
-
 @query(
     f"""WITH {FILES_SQL}, {LINES_SQL}, {_SYMS} SELECT l.file_id, CAST(l.line_no AS BIGINT) AS line_no, arg_min(name, last - first) AS symbol
     FROM lines l JOIN syms s ON s.file_id = l.file_id AND l.line_no BETWEEN first AND last WHERE contains(lower(line), 'thing') OR contains(lower(line), 'stion') GROUP BY ALL"""
 )
 def grep_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-GREP-SYM: matching lines with the innermost symbol around them (range join on file)."""
+    """FLT-GREP-SYM: matching lines with the innermost symbol around them.
+
+    Symbols are laid end to end, so the innermost one is the last that opened:
+    one pass over a file's lines carries it forward.
+    """
     ls = lines(files(spark, sf_dir))
-    hit = ls.where(F.lower("line").rlike("thing|stion")).select("file_id", "line_no")
-    joined = hit.join(paragraphs(ls), "file_id").where(F.col("line_no").between(F.col("first"), F.col("last")))
-    return joined.groupBy("file_id", "line_no").agg(F.min_by("name", F.col("last") - F.col("first")).alias("symbol"))
+    opens = F.when(F.col("line").rlike("^[A-Z]"), F.regexp_extract("line", "^[^ ]*", 0))
+    around = F.last(opens, True).over(Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    # a symbol that is its whole file gives way to the file
+    spans = F.count(opens).over(Window.partitionBy("file_id")), F.min(F.when(opens.isNotNull(), F.col("line_no"))).over(Window.partitionBy("file_id"))
+    named = ls.select("file_id", "line_no", "line", around.alias("around"), spans[0].alias("opened"), spans[1].alias("first"))
+    symbol = F.when(F.col("around").isNull() | (F.col("opened") == 1) & (F.col("first") == 1), "file").otherwise(F.col("around"))
+    return named.select("file_id", "line_no", "line", symbol.alias("symbol")).where(F.lower("line").rlike("thing|stion")).select("file_id", "line_no", "symbol")
 
 
 @query(

@@ -159,7 +159,7 @@ def injection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT page_id AS id, url, 0 AS list, row_number() OVER (ORDER BY page_id) AS rank FROM pages WHERE page_id < 30), b AS (SELECT page_id + 1000 AS id, url, 1 AS list, row_number() OVER (ORDER BY page_id DESC) AS rank FROM pages WHERE page_id < 40),
+    f"""WITH a AS (SELECT page_id AS id, url, 0 AS list, row_number() OVER (ORDER BY page_id) AS rank FROM pages), b AS (SELECT page_id + 1000 AS id, url, 1 AS list, row_number() OVER (ORDER BY page_id DESC) AS rank FROM pages),
     u AS (SELECT *, rank * 2 + list AS pos FROM a UNION ALL SELECT *, rank * 2 + list FROM b) SELECT id, url, CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS r FROM u) WHERE r = 1"""
 )
 def interleave_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

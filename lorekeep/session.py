@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -18,9 +19,13 @@ DEFAULTS = {
 
 
 def session(master: str = "local[8]", name: str = "lorekeep") -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(name)
-    for k, v in DEFAULTS.items():
-        builder = builder.config(k, v)
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    builder, given = SparkSession.builder.appName(name), SparkConf()
+    for k, v in ({"spark.master": master} | DEFAULTS).items():
+        if not given.contains(k):
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
