@@ -293,10 +293,10 @@ def _with_hubs(threshold: int):
 
 
 def _across(threshold: int):
-    """Classes under one n-gram, in blocks -> links (a, b) between different parts.
+    """Classes of one seat, in blocks -> links (a, b) between different parts.
 
-    Rows (h, block, asks, key, part, grams), the members of a block before
-    those that only ask it.
+    Rows (whole, seat, block, asks, key, part, grams), the members of a block
+    before those that only ask it.
     """
 
     def built(members: list[tuple], out: list[tuple]) -> TokenGroups:
@@ -307,11 +307,11 @@ def _across(threshold: int):
 
     def run(batches: Iterable[pa.RecordBatch]):
         at, members, groups, out = None, [], None, []
-        for h, block, asks, key, part, stored in _in_slices(batches):
-            if (h, block) != at:
+        for whole, seat, block, asks, key, part, stored in _in_slices(batches):
+            if (whole, seat, block) != at:
                 if members and groups is None:
                     built(members, out)
-                at, members, groups = (h, block), [], None
+                at, members, groups = (whole, seat, block), [], None
             if not asks:
                 members.append((key, part, _grams(stored)))
                 continue
@@ -328,6 +328,28 @@ def _across(threshold: int):
     return run
 
 
+def _shapes(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(root, seat, blocks, main, moved) of the seats whose classes (root, seat, key, part, bytes) lie in several parts.
+
+    main: the part of most classes; moved: the bytes of sets that go to the
+    seat's blocks when all classes sit in one block each and those outside
+    the main part ask all others.
+    """
+    per = rows.groupBy("root", "seat", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("bytes"))
+    seats = per.groupBy("root", "seat").agg(F.count(F.lit(1)).alias("parts"), F.sum("bytes").alias("bytes"), F.max(F.struct("k", "part", "bytes")).alias("x")).where("parts > 1")
+    blocks = F.ceil(F.col("bytes") / block_bytes).cast("bigint")
+    return stash(seats.select("root", "seat", blocks.alias("blocks"), F.col("x.part").alias("main"), (F.col("bytes") + (F.col("bytes") - F.col("x.bytes")) * (blocks - 1)).alias("moved")), "shapes")
+
+
+def _seats(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(whole, seat, block, asks, key, part): which class sits in or asks which block of which seat."""
+    placed = rows.select("seat", "key", "part").join(stash(shapes.select("seat", "blocks", "main", "whole"), "shape").hint("merge"), "seat").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    # of two classes in different parts one is not in the main part, and asks all other blocks
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block")
+    asking = placed.where("part <> main AND blocks > 1").select("whole", "seat", others, F.lit(True).alias("asks"), "key", "part")
+    return placed.select("whole", "seat", F.col("own").alias("block"), F.lit(False).alias("asks"), "key", "part").unionByName(asking)
+
+
 #: Bytes of n-gram hashes that one block of a large group holds, about.
 BLOCK_BYTES = 4 << 20
 #: Well linked classes of a large group that all its members are compared with first.
@@ -362,18 +384,18 @@ def _linked_classes(full: DataFrame, rare: DataFrame, threshold: int, block_byte
     parted = parts.select("key").join(components(edges), F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("part"))
     parted = stash(parted, "parted")
 
-    # n-grams whose classes lie in several parts
-    under = stash(rare.join(parted.join(big.select("key", "n"), "key").hint("merge"), "key"), "under")
-    per = under.groupBy("h", "part").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 8).alias("bytes"))
-    open_grams = per.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("bytes").alias("bytes"), F.max_by("part", F.struct("k", "part")).alias("main")).where("parts > 1")
-    shape = stash(open_grams.select("h", F.ceil(F.col("bytes") / block_bytes).cast("bigint").alias("blocks"), "main"), "shape")
-    asked = under.join(shape.hint("merge"), "h").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    # of two classes in different parts one is not in the main part, and asks all other blocks of the n-gram
-    other_blocks = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block")
-    asking = asked.where("part <> main AND blocks > 1").select("h", other_blocks, F.lit(True).alias("asks"), "key", "part")
-    seats = stash(asked.select("h", F.col("own").alias("block"), F.lit(False).alias("asks"), "key", "part").unionByName(asking), "seats")
-    seated = seats.join(big.select("key", "n", "grams").hint("merge"), "key").repartition("h", "block").sortWithinPartitions("h", "block", "asks", "n", "key")
-    across = stash(seated.select("h", "block", "asks", "key", "part", "grams").mapInArrow(tidied(_across(threshold)), "a bigint, b bigint"), "across")
+    # links between parts: looked for under each n-gram on its own, or in the group as a whole, whichever moves less
+    sized = stash(parted.join(big.select("key", "root", "n").hint("merge"), "key").withColumn("bytes", F.col("n") * 8), "sized")
+    under = stash(rare.join(sized.hint("merge"), "key").select("root", F.col("h").alias("seat"), "key", "part", "bytes"), "under")
+    by_gram, by_group = _shapes(under, block_bytes), _shapes(sized.withColumn("seat", F.col("root")), block_bytes)
+    price = lambda shapes, name: shapes.groupBy("root").agg(F.sum("moved").alias(name))
+    choice = price(by_group, "whole_moved").join(price(by_gram, "gram_moved"), "root", "left").select("root", (F.col("whole_moved") <= F.coalesce("gram_moved", F.lit(0))).alias("whole"))
+    choice = stash(choice, "choice")
+    whole = _seats(sized.withColumn("seat", F.col("root")), by_group.join(choice.where("whole"), "root"))
+    grams = _seats(under, by_gram.join(choice.where("NOT whole"), "root"))
+    seats = stash(whole.unionByName(grams), "seats")
+    seated = seats.join(big.select("key", "n", "grams").hint("merge"), "key").repartition("whole", "seat", "block").sortWithinPartitions("whole", "seat", "block", "asks", "n", "key")
+    across = stash(seated.select("whole", "seat", "block", "asks", "key", "part", "grams").mapInArrow(tidied(_across(threshold)), "a bigint, b bigint"), "across")
     joined = components(edges.unionByName(across))
     outer = parts.select("key").join(joined, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"))
     return keep(inner.unionByName(outer), "linked")
