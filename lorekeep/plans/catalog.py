@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.operators import extraction, graph, logs, lookup, maintenance, retrieval, selection, textops, web  # noqa: F401
+from lorekeep.operators import extraction, graph, logs, lookup, maintenance, retrieval, rules, selection, textops, web  # noqa: F401
 from lorekeep.streaming import state  # noqa: F401
 from lorekeep.plans.registry import ORACLE_SQL, QUERIES
 
