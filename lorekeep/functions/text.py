@@ -106,7 +106,8 @@ def strip_ansi(c: Column) -> Column:
 
 
 TEST_PATH = r"(^|/)(tests?|__tests__|spec)(/|$)|(_test|\.test|\.spec|_spec)\.[a-z]+$|(^|/)test_[^/]*$"
-CONFIG_PATH = r"\.(ya?ml|toml|json|sql|ini|cfg)$"
+#: Extensions of configuration and schema files, in either case.
+CONFIG_PATH = r"(?i)(^|\.)(sql|yml|yaml|toml|json)$"
 
 
 def is_test(path: Column) -> Column:

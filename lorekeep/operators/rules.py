@@ -9,7 +9,7 @@ from lorekeep.functions import text as tx
 from lorekeep.operators.retrieval import EXPECTED_SQL, SCORES_SQL, bm25, confidence_abstain, expected, postings, question_terms, sender, top
 from lorekeep.operators.textops import _FOLD
 from lorekeep.plans.registry import ORACLE_SQL, query
-from lorekeep.sources.tables import table
+from lorekeep.sources.tables import FILES_SQL, files, table
 
 #: Where a token parts: at a change of case, and between letters and digits; replaced one after the other.
 EDGES = [(r"(\p{Ll})(\p{Lu})", 2), (r"(\p{Lu})(\p{Lu}\p{Ll})", 2), (r"(\p{L})([0-9])", 2), (r"([0-9])(\p{L})", 2)]
@@ -121,3 +121,18 @@ def abstention_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = confidence_abstain(spark, sf_dir).join(known, "item_id", "left").select("confidence", F.coalesce("answerable", F.lit(False)).alias("answerable"), F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("threshold"))
     low = F.col("confidence") < F.col("threshold")
     return a.groupBy("threshold").agg(F.count_if(low & ~F.col("answerable")).alias("right_refusals"), F.count_if(low & F.col("answerable")).alias("wrong_refusals"), F.count_if(~low & F.col("answerable")).alias("answered"))
+
+
+#: Endings dealt to the files, whose own is always txt.
+ENDINGS = ["txt", "sql", "YML", "yaml.bak", "toml", "Json", "jsonl"]
+
+
+@query(
+    rf"""WITH {FILES_SQL}, p AS (SELECT file_id, regexp_replace(path, '[^.]*$', '') || ['{"', '".join(ENDINGS)}'][CAST(file_id % {len(ENDINGS)} AS INTEGER) + 1] AS path FROM files)
+    SELECT file_id, path, regexp_matches(path, '{tx.CONFIG_PATH}') AS config FROM p"""
+)
+def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-ISCONFIG: whether each path is that of a configuration or schema file."""
+    ending = F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), (F.col("file_id") % len(ENDINGS) + 1).cast("int"))
+    p = files(spark, sf_dir).select("file_id", F.concat(F.regexp_replace("path", "[^.]*$", ""), ending).alias("path"))
+    return p.select("file_id", "path", tx.is_config(F.col("path")).alias("config"))
