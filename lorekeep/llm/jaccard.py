@@ -5,11 +5,15 @@ one when there are fewer). Two documents link when
 100 * intersection >= threshold * union.
 
 1. Documents with equal sets form a class, whose key is a hash of the set.
-2. A linked pair shares at least l n-grams within the prefixes (the smallest
-   hashes) of both sets. N-grams that no second prefix holds link nothing: a
-   class with too few others is done. Of the rest, the rarest prefix n-grams,
-   in number such that linked classes share one, partition the classes into
-   groups of candidates.
+2. A set's n-grams are dealt into parts by ranges of their hashes, in number
+   such that linked sets, which differ in few n-grams, agree on several whole
+   parts (PartEnum). A part's hash is a signature; the parts of fewest n-grams
+   are left out, and so many are dealt that linked sets still share at least l
+   signatures. Signatures that no second class holds link nothing: a class with
+   too few others is done. Of the rest, the rarest, in number such that linked
+   classes share one, partition the classes into groups of candidates. A part
+   agrees only where all its n-grams do, so n-grams that many documents of a
+   large corpus share by chance make no candidates.
 3. In a group, similar classes gather in small cells. The token-group matrix
    holds for each n-gram the cells whose token union has it. Its sum over a
    query's n-grams bounds the overlap with every member of a cell; only cells
@@ -17,9 +21,9 @@ one when there are fewer). Two documents link when
    compared exactly. A cell already connected to the query stays shut.
 4. A group too large for a task is dealt into blocks by a hash. Links within
    blocks and with the group's best linked classes (its hubs) connect most of
-   it. What they leave unconnected is looked at under each rare n-gram on its
-   own: only n-grams whose classes lie in several connected parts are opened,
-   with a token-group matrix again.
+   it. What they leave unconnected is looked at under each rare signature on
+   its own: only signatures whose classes lie in several connected parts are
+   opened, with a token-group matrix again.
 
 N-grams and classes are told apart by 64-bit hashes (classes of 10^10
 documents collide with a chance of about one in a hundred thousand each); all
@@ -35,14 +39,16 @@ that hold one.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import LOWER_AZ, chunks, columns_as_bytes, components, fresh, gram_hashes, mix64, repeated_only, salt_of, scratch, split_by, stash, tidied, word_hashes
+from lorekeep.llm.common import LOWER_AZ, chunks, columns_as_bytes, components, fresh, gram_hashes, mix64, salt_of, scratch, split_by, stash, tidied, word_hashes
 
 #: Most classes of a cell.
 CELL = 16
@@ -50,18 +56,59 @@ CELL = 16
 NULL_ID = -(1 << 63)
 
 
-def least_overlap(n: int, threshold: int) -> int:
-    """Fewest common n-grams of a set of size n with any linked set."""
-    return -(-threshold * n // 100)
+class Tag(NamedTuple):
+    """The signatures that sets of low to high n-grams, and smaller ones linked with such, are met by."""
 
+    low: int
+    edges: np.ndarray  # least hash of each part but the first
+    salts: np.ndarray  # one for each part
+    emitted: int
+    least: int  # signatures that linked sets share here
 
-def spare(n: int, threshold: int) -> int:
-    """l: n-grams that linked prefixes are made to share; grows with n."""
-    return 1 + n * (100 - threshold) // 100
 
+class Tags:
+    """Size ranges from 1 up, each half as wide again as its start, made as they are needed."""
 
-def prefix_length(n: int, threshold: int) -> int:
-    return min(n, n - least_overlap(n, threshold) + spare(n, threshold))
+    def __init__(self, threshold: int):
+        self.t, self.made, self.next = threshold, [], 1
+
+    def _more(self) -> None:
+        low, high = self.next, self.next * 3 // 2
+        differing = 2 * high * (100 - self.t) // (100 + self.t)  # n-grams on one of two linked sets only, at most
+        spare, weak = 1 + differing // 16, 1 + differing // 8
+        parts = differing + 1 + spare + weak
+        edges = np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64)
+        salts = mix64(np.arange(parts, dtype=np.uint64) + np.uint64((len(self.made) + 1) << 40))
+        # without a difference linked sets are one class and need no signatures
+        self.made.append(Tag(low, edges, salts, parts - weak if differing else 0, 1 + spare))
+        self.next = high + 1
+
+    def of(self, n: int) -> list[Tag]:
+        """Tags of a set of n n-grams: that of its size and those of all larger sizes it can link with."""
+        most = 100 * n // self.t
+        while self.next <= most:
+            self._more()
+        own = bisect_right(self.made, n, key=lambda x: x.low) - 1
+        return [x for x in self.made[own : bisect_right(self.made, most, key=lambda x: x.low)] if x.emitted]
+
+
+def signatures(s: np.ndarray, tags: Tags) -> tuple[np.ndarray, int]:
+    """Signatures of a sorted set, and how many of them any linked set has at least.
+
+    With a part agreeing, its size and number agree too. Of the parts on which
+    two sets agree, those that come first by size and number are therefore
+    left out by neither before as many others are.
+    """
+    found = tags.of(len(s)) if len(s) else []
+    if not found:
+        return np.zeros(0, np.uint64), 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)))
+    out = []
+    for tag in found:
+        at = np.concatenate(([0], np.searchsorted(s, tag.edges), [len(s)]))
+        kept = np.argsort(at[:-1] - at[1:], kind="stable")[: tag.emitted]
+        out.append(mix64((sums[at[1:]] - sums[at[:-1]] + tag.salts)[kept]))
+    return np.concatenate(out), found[0].least
 
 
 def sets_of(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
@@ -90,20 +137,23 @@ def _key(s: np.ndarray) -> int:
 
 
 def _sketches(rows: DataFrame, size: int, threshold: int) -> DataFrame:
-    """(doc_id, n, key, prefix): set size, hash of the set (null if empty), prefix hashes."""
+    """(doc_id, n, key, l, signs): set size, hash of the set (null if empty), signatures and how many linked sets share."""
 
     def run(batches: Iterable[pa.RecordBatch]):
+        tags = Tags(threshold)
         for batch in batches:
-            n, keys, prefixes = [], [], []
+            n, keys, least, signs = [], [], [], []
             for s in sets_of(columns_as_bytes(batch, "__text"), size):
                 n.append(len(s))
                 keys.append(_key(s) if len(s) else None)
-                prefixes.append(s[: prefix_length(len(s), threshold)].view(np.int64).copy())
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n", "key", "prefix"])
+                own, l = signatures(s, tags)
+                least.append(l)
+                signs.append(own.view(np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in signs]))).astype(np.int32)
+            values = np.concatenate(signs) if signs else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n", "key", "l", "signs"])
 
-    return rows.mapInArrow(tidied(run), "doc_id bigint, n bigint, key bigint, prefix array<bigint>")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, n bigint, key bigint, l bigint, signs array<bigint>")
 
 
 def _full_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -359,7 +409,7 @@ HUBS = 16
 def _linked_classes(full: DataFrame, rare: DataFrame, threshold: int, block_bytes: int, keep: Callable) -> DataFrame:
     """(key, root): connected classes in the groups of candidates (root, key, n, grams).
 
-    rare: (key, h), the n-grams of which linked classes share one.
+    rare: (key, h), the signatures of which linked classes share one.
     """
     sizes = full.groupBy("root").agg(F.sum(F.octet_length("grams")).alias("bytes"))
     large = stash(sizes.where(F.col("bytes") > block_bytes).select("root", F.ceil(F.col("bytes") / block_bytes).cast("bigint").alias("blocks")), "large")
@@ -384,7 +434,7 @@ def _linked_classes(full: DataFrame, rare: DataFrame, threshold: int, block_byte
     parted = parts.select("key").join(components(edges), F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("part"))
     parted = stash(parted, "parted")
 
-    # links between parts: looked for under each n-gram on its own, or in the group as a whole, whichever moves less
+    # links between parts: looked for under each signature on its own, or in the group as a whole, whichever moves less
     sized = stash(parted.join(big.select("key", "root", "n").hint("merge"), "key").withColumn("bytes", F.col("n") * 8), "sized")
     under = stash(rare.join(sized.hint("merge"), "key").select("root", F.col("h").alias("seat"), "key", "part", "bytes"), "under")
     by_gram, by_group = _shapes(under, block_bytes), _shapes(sized.withColumn("seat", F.col("root")), block_bytes)
@@ -410,14 +460,15 @@ def _groups(rows: DataFrame, size: int, threshold: int, block_bytes: int) -> Dat
         keyed = sketches.select("doc_id", "n", "key", salt_of("doc_id").alias("salt"))
         parts = keyed.where("key is not null").groupBy("key", "salt").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("k"))
         classes = stash(parts.groupBy("key").agg(F.min("low").alias("low"), F.sum("k").alias("k"), F.collect_list("salt").alias("salts")), "classes")
-        maybe, alone = split_by(sketches.where("key is not null").select("key", "n", "prefix"), "key", classes.where("k > 1"))
-        reps = alone.unionByName(maybe.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-
-        # prefix n-grams on two classes or more; classes with enough of them go on
-        grams = repeated_only(reps.select("key", "n", F.explode("prefix").alias("h")), "h")
-        least = F.expr(f"1 + ((({threshold} * n + 99) div 100) * {100 - threshold}) div 100")
-        held = grams.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g"))
-        held = held.withColumn("l", least).where(F.size("g") >= F.col("l"))
+        maybe, alone = split_by(sketches.where("key is not null").select("key", "l", "signs"), "key", classes.where("k > 1"))
+        reps = alone.unionByName(maybe.groupBy("key").agg(F.first("l").alias("l"), F.first("signs").alias("signs")))
+
+        # signatures of two classes or more; classes with enough of them go on
+        signed = reps.select("key", "l", F.explode("signs").alias("h"))
+        counts = stash(signed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+        shared, _ = split_by(signed, "h", counts)
+        shared = shared.join(counts.hint("merge"), "h")
+        held = shared.groupBy("key").agg(F.first("l").alias("l"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g")).where(F.size("g") >= F.col("l"))
         rare = stash(held.select("key", F.explode(F.expr("slice(g, 1, int(size(g) - l + 1))")).alias("x")).select("key", F.col("x.h").alias("h")), "rare")
         first = stash(rare.groupBy("h").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "first")
         stars = rare.join(first.hint("merge"), "h").where("key <> a").select("a", F.col("key").alias("b")).distinct()

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from lorekeep.llm import jaccard
 from lorekeep.llm.common import components
 from lorekeep.llm.jaccard import drop_near, near_groups
 
@@ -60,6 +62,44 @@ def test_against_brute_force(spark, size, threshold, block_bytes):
     assert got == brute(rows, size, threshold)
 
 
+@pytest.mark.parametrize("threshold", [60, 80, 90, 99])
+def test_linked_sets_share_signatures(threshold):
+    rng, tags, checked = np.random.default_rng(threshold), jaccard.Tags(threshold), 0
+    for n in [*range(1, 60), *range(60, 2000, 37)]:
+        for _ in range(20):
+            common, mine, theirs = rng.integers(1, n + 1), rng.integers(0, n // 3 + 2), rng.integers(0, n // 3 + 2)
+            if 100 * common < threshold * (common + mine + theirs):
+                common = -(-threshold * (mine + theirs) // (100 - threshold))  # just linked
+            pool = np.unique(rng.integers(0, 1 << 64, common + mine + theirs, np.uint64, endpoint=False))
+            rng.shuffle(pool)
+            a, b = np.sort(pool[: common + mine]), np.sort(np.concatenate((pool[:common], pool[common + mine :])))
+            if mine + theirs:
+                (x, l), (y, m) = jaccard.signatures(a, tags), jaccard.signatures(b, tags)
+                assert len(np.intersect1d(x, y)) >= max(l, m)
+                checked += 1
+    assert checked > 1000
+
+
+def test_ngrams_shared_by_chance_make_no_candidates(spark, monkeypatch):
+    # a large corpus in small: every three-word shingle stands in several unrelated documents
+    rng = random.Random(6)
+    rows = [" ".join(rng.choices("abcdefghijklmnop", k=300)) for _ in range(200)]
+    rows += [rows[i] + " end" for i in range(5)]
+    rows = list(enumerate(rows))
+    compared, real = [], jaccard._full_sets
+
+    def counted(texts, size):
+        compared.append(texts.count())
+        return real(texts, size)
+
+    monkeypatch.setattr(jaccard, "_full_sets", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(df, size=3, threshold=90).collect()}
+    assert got == brute(rows, 3, 90)
+    assert got[200][1] == 0
+    assert compared[0] < 30
+
+
 def test_test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
