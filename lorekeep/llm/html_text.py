@@ -20,10 +20,13 @@ depth. Building takes time in proportion to the page: open elements are found
 by tag, never by a walk over all that are open, and an unclosed tag is not
 searched for its end again and again.
 
-A cell may span columns and rows (within the ranges that HTML itself sets). A
-table whose aligned form would be much larger than its text (LAYOUT_SHARE
-times and LAYOUT_BYTES: one very wide cell above very many rows) is shown cell
-below cell, with all its text.
+A cell may span columns and rows (within the ranges that HTML itself sets).
+Columns that begin within the first ALIGNED characters of a line are aligned;
+cells further right follow one another without padding, and a line of a cell
+longer than that does not widen its column but moves the rest of its own line.
+So no text is left out, a table pads a line by ALIGNED characters at most, and
+how a row is shown depends on the widths of its columns, never on the number of
+rows or the size of the table or page.
 """
 
 from __future__ import annotations
@@ -63,7 +66,8 @@ ENDS_P = BLOCK - {"body", "html", "li", "dd", "dt", "tr", "td", "th", "thead", "
 SCOPE = frozenset("table td th caption html body button object template".split())
 #: Most columns and rows that a cell spans (fixed values of HTML).
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-LAYOUT_SHARE, LAYOUT_BYTES = 16, 1 << 20
+#: Characters of a line within which columns are aligned.
+ALIGNED = 400
 #: What may stand in a head, and what svg and math hold unseen; both read markup their own way until an element on the third list.
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 FOREIGN_UNSEEN = frozenset("title desc metadata style script annotation annotation-xml".split())
@@ -442,7 +446,7 @@ def table(node: Node) -> list[str]:
     for spread in (False, True):
         for row in placed:
             for i, j, lines in row:
-                wide = max(map(width, lines))
+                wide = max((w for w in map(width, lines) if w <= ALIGNED), default=0)
                 if j - i == 1:
                     widths[i] = max(widths[i], wide)
                 elif spread:  # what a wide cell still needs goes to its last column
@@ -450,24 +454,27 @@ def table(node: Node) -> list[str]:
     left = [0]
     for w in widths:
         left.append(left[-1] + w + 3)
-    own = sum(len(x) for row in placed for *_, lines in row for x in lines)
-    size = sum(left[row[-1][0]] * max(len(c[2]) for c in row) for row in placed if row)
+    near = bisect_right(left, ALIGNED, hi=len(widths))  # columns that begin within the aligned part
+
+    def padded(text: str, i: int, j: int) -> str:
+        """The text up to where column j begins, if that is within the aligned part."""
+        return text + " " * (left[j] - left[i] - 3 - width(text)) if left[j] <= ALIGNED else text
+
     out = list(before)
-    if size > LAYOUT_SHARE * own + LAYOUT_BYTES:
-        for row in placed:
-            for *_, lines in row:
-                out += lines
-        return out
     for row in placed:
+        first = [c for c in row if c[0] < near]
+        rest = [c for c in row if c[0] >= near]
         for k in range(max((len(lines) for *_, lines in row), default=0)):
             line, at = [], 0
-            for i, j, lines in row:
-                while at < i:  # columns held by cells from above
-                    line.append(" " * widths[at])
-                    at += 1
-                text = lines[k] if k < len(lines) else ""
-                line.append(text + " " * (left[j] - left[i] - 3 - width(text)))
+            for i, j, lines in first:
+                # columns before it are held by cells from above
+                line += [padded("", c, c + 1) for c in range(at, i)]
+                line.append(padded(lines[k] if k < len(lines) else "", i, j))
                 at = j
+            rest = [c for c in rest if k < len(c[2])]
+            if rest:
+                line += [padded("", c, c + 1) for c in range(at, near)]
+                line += [lines[k] for *_, lines in rest]
             out.append(" | ".join(line).rstrip())
     return out
 

@@ -239,6 +239,26 @@ def test_html_spans_and_wide_cells():
     assert heap.count("C") == heap.count("D") == 2000 and len(heap) < 100_000
 
 
+def test_html_tables_look_the_same_at_any_size():
+    def rows(m):
+        return text_of(("<table><tr><td>" + "w" * 300 + "<td>B" + "<tr><td>C<td>D" * m + "</table>").encode()).split("\n")
+
+    few, many = rows(3), rows(9000)
+    assert many == few + few[-1:] * 8997
+    assert all(x.index("|") == 301 for x in few)
+
+
+def test_html_cells_beyond_the_aligned_part():
+    # 300 columns, of which row 2 holds all but the last, and many lines in a cell far right
+    page = "<table><tr>" + "".join(f"<td rowspan=2>x{i}" for i in range(300)) + "<td>last<tr><td>under" + "<tr><td colspan=299>wide<td>far<br>" + "more<br>" * 3000 + "<td>end</table>"
+    lines = text_of(page.encode()).split("\n")
+    assert [x.strip() for x in lines[0].split("|")] == [f"x{i}" for i in range(300)] + ["last"]
+    assert lines[1].strip(" |") == "under"
+    assert [x.strip() for x in lines[2].split("|") if x.strip()] == ["wide", "far", "end"]
+    assert [x.strip(" |") for x in lines[3:]] == ["more"] * 3000
+    assert max(map(len, lines[1:])) < 1000
+
+
 def test_html_broken_markup_is_linear():
     import time
 
