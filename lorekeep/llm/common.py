@@ -58,18 +58,28 @@ def bounded(spark: SparkSession) -> None:
 #: Folders of the tables written so far, by scope, innermost last.
 _SCOPES: list[list[str]] = [[]]
 
+#: Whether a write drops the files of its own exchanges when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stash(df: DataFrame, label: str, scope: int = -1) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
     Cuts the lineage: a lost executor costs no recomputation of what stands
     above. The table goes when the scope it is written in ends, at the latest
-    with the driver.
+    with the driver. The files of the write's exchanges go with the write: no
+    later step reads them, and otherwise they stay until the driver happens to
+    collect its garbage.
     """
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     _SCOPES[scope].append(path.rsplit("/", 1)[0])
     atexit.register(_drop, spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)

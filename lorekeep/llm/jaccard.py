@@ -451,25 +451,50 @@ def _linked_classes(full: DataFrame, rare: DataFrame, threshold: int, block_byte
     return keep(inner.unionByName(outer), "linked")
 
 
+#: Signatures that are counted at once, about, and most slices they are dealt into.
+SLICE, SLICES = 1 << 26, 16
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """(key, l, h, df): the signatures of (key, l, signs) that two classes or more hold, df how many.
+
+    Signatures are counted slice by slice: the exchanges of a slice go before
+    those of the next are written, and the filter of a slice has few members.
+    """
+    total = reps.agg(F.sum(F.size("signs").cast("bigint"))).first()[0] or 0
+    slices = max(1, min(SLICES, -(-total // SLICE)))
+    out = None
+    for i in range(slices):
+        signed = reps.select("key", "l", F.explode("signs").alias("h")).where(F.pmod("h", F.lit(slices)) == i)
+        with scratch(reps.sparkSession) as keep:
+            counts = stash(signed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+            maybe, _ = split_by(signed, "h", counts)
+            shared = keep(maybe.join(counts.hint("merge"), "h").select("key", "l", "h", "df"), "shared")
+        out = shared if out is None else out.unionByName(shared)
+    return out
+
+
+def _rare(shared: DataFrame) -> DataFrame:
+    """(key, h): the rarest signatures of the classes that share enough, in number such that linked classes have one in common."""
+    held = shared.groupBy("key").agg(F.first("l").alias("l"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g")).where(F.size("g") >= F.col("l"))
+    return held.select("key", F.explode(F.expr("slice(g, 1, int(size(g) - l + 1))")).alias("x")).select("key", F.col("x.h").alias("h"))
+
+
 def _groups(rows: DataFrame, size: int, threshold: int, block_bytes: int) -> DataFrame:
     """(doc_id, n, low) of (doc_id, __text) rows: set size and smallest id of the component."""
     with scratch(rows.sparkSession) as keep:
-        sketches = stash(_sketches(rows, size, threshold), "sketches")
-
-        # classes of equal sets, salted so that no class meets in one task
-        keyed = sketches.select("doc_id", "n", "key", salt_of("doc_id").alias("salt"))
-        parts = keyed.where("key is not null").groupBy("key", "salt").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("k"))
-        classes = stash(parts.groupBy("key").agg(F.min("low").alias("low"), F.sum("k").alias("k"), F.collect_list("salt").alias("salts")), "classes")
-        maybe, alone = split_by(sketches.where("key is not null").select("key", "l", "signs"), "key", classes.where("k > 1"))
-        reps = alone.unionByName(maybe.groupBy("key").agg(F.first("l").alias("l"), F.first("signs").alias("signs")))
-
-        # signatures of two classes or more; classes with enough of them go on
-        signed = reps.select("key", "l", F.explode("signs").alias("h"))
-        counts = stash(signed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
-        shared, _ = split_by(signed, "h", counts)
-        shared = shared.join(counts.hint("merge"), "h")
-        held = shared.groupBy("key").agg(F.first("l").alias("l"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g")).where(F.size("g") >= F.col("l"))
-        rare = stash(held.select("key", F.explode(F.expr("slice(g, 1, int(size(g) - l + 1))")).alias("x")).select("key", F.col("x.h").alias("h")), "rare")
+        with scratch(rows.sparkSession) as held:
+            # signatures, the largest table, go when the rare ones are found
+            sketches = stash(_sketches(rows, size, threshold), "sketches")
+            keyed = held(sketches.select("doc_id", "n", "key", salt_of("doc_id").alias("salt")), "keyed")
+
+            # classes of equal sets, salted so that no class meets in one task
+            parts = keyed.where("key is not null").groupBy("key", "salt").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("k"))
+            classes = held(parts.groupBy("key").agg(F.min("low").alias("low"), F.sum("k").alias("k"), F.collect_list("salt").alias("salts")), "classes")
+            maybe, alone = split_by(sketches.where("key is not null").select("key", "l", "signs"), "key", classes.where("k > 1"))
+            reps = alone.unionByName(stash(maybe.groupBy("key").agg(F.first("l").alias("l"), F.first("signs").alias("signs")), "reps"))
+            rare = held(_rare(_shared(reps)), "rare")
+
         first = stash(rare.groupBy("h").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "first")
         stars = rare.join(first.hint("merge"), "h").where("key <> a").select("a", F.col("key").alias("b")).distinct()
         members = stash(components(stars).select(F.col("node").alias("key"), "root"), "members")
