@@ -190,9 +190,14 @@ def crawl_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT q, arg_max(version, best) AS also_in, round(max(best), 2) AS score FROM h JOIN c USING (q) WHERE version <> 'O' AND best > chosen GROUP BY q"""
 )
 def also_in_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HLP-ALSOIN and RNK-WEBFIND: the best hit of another version when it beats the chosen one."""
-    h = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("q"), F.col("o_orderstatus").alias("version")).agg(F.max("o_totalprice").alias("best"))
-    own = h.groupBy("q").agg(F.max(F.when(F.col("version") == "O", F.col("best"))).alias("chosen"), F.max(F.when(F.col("version") != "O", F.struct("best", "version"))).alias("x"))
+    """HLP-ALSOIN and RNK-WEBFIND: the best hit of another version when it beats the chosen one.
+
+    Of versions with equal best hits, the one that comes first in the table
+    (in order of its keys) is named, as the SQL does on one thread; on several
+    threads the SQL names either.
+    """
+    h = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("q"), F.col("o_orderstatus").alias("version")).agg(F.max("o_totalprice").alias("best"), (-F.min("o_orderkey")).alias("early"))
+    own = h.groupBy("q").agg(F.max(F.when(F.col("version") == "O", F.col("best"))).alias("chosen"), F.max(F.when(F.col("version") != "O", F.struct("best", "early", "version"))).alias("x"))
     return own.where("chosen IS NOT NULL AND x.best > chosen").select("q", F.col("x.version").alias("also_in"), F.round("x.best", 2).alias("score"))
 
 
