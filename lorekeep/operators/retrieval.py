@@ -7,6 +7,10 @@ can score.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,12 +183,70 @@ def rerank20(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dense_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-DENSE: exact cosine neighbours of the query vectors (ids divisible by 50), ties by id."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    n = e.withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
-    q = n.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
-    s = n.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("e"), F.col("qe")) / (F.col("norm") * F.col("qn")), 5).alias("score"))
-    return top(s, 10, "query_id", "vec_id")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(e, e.where("vec_id % 50 = 0"), 10)
+
+
+#: Vectors and query vectors of a block, about.
+VECTORS, ASKING = 8192, 4096
+
+
+def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """(ids, e): about `rows` vectors a row, by id; ids as 64-bit integers, vectors as doubles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = [np.zeros(0, np.int64)], []
+        for batch in batches:
+            ids.append(np.asarray(batch.column(0), np.int64))
+            held = np.asarray(batch.column(1).is_valid())
+            flat = np.asarray(batch.column(1).flatten(), np.float64).reshape(int(held.sum()), -1) if held.any() else np.zeros((0, 0))
+            vectors.append((held, flat))
+        if vectors:
+            ids = np.concatenate(ids)
+            by_id = np.argsort(ids, kind="stable")
+            # null vectors are all NaN
+            packed = np.full((len(ids), max(flat.shape[1] for _, flat in vectors)), np.nan)
+            if packed.shape[1]:
+                packed[np.concatenate([held for held, _ in vectors])] = np.concatenate([flat for _, flat in vectors if len(flat)])
+            packed = packed[by_id]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[by_id].tobytes()]), pa.array([packed.tobytes()])], names=["ids", "e"])
+
+    blocks = max(1, -(-vectors.count() // rows))
+    return vectors.repartition(blocks, "vec_id").mapInArrow(run, "ids binary, e binary")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best of (vec_id, embedding) by cosine, by id at equal scores.
+
+    Every pair is scored, as products of a block of queries and one of
+    vectors: a task holds two blocks and the scores of a few hundred queries,
+    and gives each query's k best of its block. Null vectors have null scores.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for vi, ve, qi, qe in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, asking = np.frombuffer(vi, np.int64), np.frombuffer(qi, np.int64)
+                v, q = (np.frombuffer(e).reshape(n, -1) if e else np.full((n, len(other) // 8 // m or 1), np.nan) for e, n, other, m in ((ve, len(ids), qe, len(asking)), (qe, len(asking), ve, len(ids))))
+                vn, qn = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
+                for at in range(0, len(asking), 256):
+                    own = asking[at : at + 256]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        s = q[at : at + 256] @ v.T / (qn[at : at + 256, None] * vn)
+                    # a null score comes last, -2 stands for it
+                    s = np.nan_to_num(np.copysign(np.floor(np.abs(s) * 1e5 + 0.5), s) / 1e5 + 0.0, nan=-2.0)
+                    same = own[:, None] == ids
+                    s[same] = -np.inf
+                    n = min(k, len(ids))
+                    least = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n, None]
+                    above, equal = s > least, s == least
+                    chosen = above | equal & (np.cumsum(equal, axis=1) <= n - above.sum(1, keepdims=True))
+                    i, j = np.nonzero(chosen & ~same)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j]), pa.array(s[i, j], mask=s[i, j] == -2)], names=["query_id", "vec_id", "score"])
+
+    asking = _blocks(queries, ASKING).select(F.col("ids").alias("query_ids"), F.col("e").alias("q")).hint("shuffle_replicate_nl")
+    pairs = _blocks(vectors, VECTORS).crossJoin(asking)
+    return top(pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double"), k, "query_id", "vec_id")
 
 
 @query(

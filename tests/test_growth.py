@@ -3,9 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from lorekeep.operators import retrieval
 from lorekeep.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -25,3 +27,13 @@ def test_equal_best_hits_of_versions(spark, tmp_path):
     columns = {"o_orderkey": pa.array(range(n)), "o_custkey": pa.array([rng.randrange(60) for _ in range(n)]), "o_orderstatus": [rng.choice("OFP") for _ in range(n)], "o_totalprice": pa.array([float(rng.randrange(3)) for _ in range(n)])}
     pq.write_table(pa.table(columns), tmp_path / "orders.parquet")
     against_sql(spark, tmp_path, "also_in_version", ["orders"])
+
+
+def test_nearest_in_blocks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    few = np.round(rng.normal(size=(40, 5)), 1).astype(np.float32)  # many equal vectors: ties by id
+    rows = [few[k % 40].tolist() if k % 90 else None for k in range(1, 400)]
+    pq.write_table(pa.table({"vec_id": pa.array(range(1, 400)), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    monkeypatch.setattr(retrieval, "VECTORS", 60)
+    monkeypatch.setattr(retrieval, "ASKING", 3)
+    against_sql(spark, tmp_path, "dense_knn", ["embeddings"])
