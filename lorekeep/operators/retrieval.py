@@ -1,13 +1,13 @@
 """Ranked retrieval: BM25 and fielded BM25, term matching, dense search, fusion.
 
-Question sets are the benchmark table. Postings are filtered to the questions'
-vocabulary before they are aggregated, so the shuffle carries only terms that
-can score.
+Question sets are the benchmark table. Documents are scored where they are
+read (scan.py): two passes over them, the first for the statistics of the
+questions' words, and what is exchanged are the best hits of each task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
+from lorekeep.operators.scan import Asked, Held, Stats, asked_blocks, containing, rounded, scored, stats, worded
 from lorekeep.plans.registry import query
 from lorekeep.sources.tables import FILES_SQL, LINES_SQL, files, lines, table
 
@@ -37,34 +38,49 @@ def question_terms(bm: DataFrame) -> DataFrame:
     return bm.select("item_id", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term"))
 
 
-#: Rows up to which question terms are sent to all tasks.
-SENT = 300_000
+def bodies(docs: DataFrame) -> DataFrame:
+    return worded(docs, "doc_id", body=tx.words(F.coalesce("text", F.lit(""))))
 
 
-def sender(terms: DataFrame):
-    """A hint for tables of at most one row a question term: a broadcast where these are few, as counted."""
-    return F.broadcast if terms.limit(SENT + 1).count() <= SENT else lambda df: df
+def idf(s: Stats, f: int = 0) -> np.ndarray:
+    """ln(1 + (N-df+.5)/(df+.5)) of each asked word."""
+    return np.log(1 + (s.n - s.df[f] + 0.5) / (s.df[f] + 0.5))
 
 
-def postings(docs: DataFrame, vocabulary: DataFrame, sent=lambda df: df) -> DataFrame:
-    """(doc_id, doc_len, term, tf) of the terms in the vocabulary."""
-    body = docs.select("doc_id", tx.words(F.coalesce("text", F.lit(""))).alias("w"))
-    tokens = body.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("term")).join(sent(vocabulary.select("term").distinct()), "term", "left_semi")
-    # dealt by document: scores are summed by document later on, without another exchange of all matches
-    tokens = tokens.repartition("doc_id")
-    return tokens.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+def bm25_score(asked: Asked, s: Stats, k1: float = K1, b: float = B) -> Callable:
+    """Which document holds a word of which question, and its score."""
+    weight, mean = idf(s), s.words[0] / max(1, s.n)
 
+    def score(held: list[Held], n: int) -> tuple[np.ndarray, np.ndarray]:
+        (h,) = held
+        part = weight[h.t] * h.tf * (k1 + 1) / (h.tf + k1 * (1 - b + b * h.length[h.d] / mean))
+        return asked.cells(h.d, h.t, n) > 0, rounded(asked.cells(h.d, h.t, n, part), 4)
 
-def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(item_id, doc_id, score) of every matching pair; idf = ln(1 + (N-df+.5)/(df+.5))."""
-    stat = docs.select(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(tx.WORDS)).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg_len"))
-    sent = sender(terms)
-    post = postings(docs, terms, sent)
-    df = sent(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    tf, length = F.col("tf"), F.col("doc_len")
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("avg_len")))
-    joined = post.join(df, "term").join(sent(terms), "term").crossJoin(F.broadcast(stat))  # stat is one row
-    return joined.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
+    return score
+
+
+def grep_score(asked: Asked) -> Callable:
+    """Which document holds a word of which question, how often, and how many distinct ones."""
+
+    def score(held: list[Held], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (h,) = held
+        words = asked.cells(h.d, h.t, n)
+        return words > 0, asked.cells(h.d, h.t, n, h.tf), words
+
+    return score
+
+
+def each_block(terms: DataFrame, made: Callable[[Asked], DataFrame]) -> DataFrame:
+    out = None
+    for asked in asked_blocks(terms):
+        out = made(asked) if out is None else out.unionByName(made(asked))
+    return out
+
+
+def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, best: int | None = None) -> DataFrame:
+    """(item_id, doc_id, score) of every matching pair, or of those that can be among the best; idf = ln(1 + (N-df+.5)/(df+.5))."""
+    body = bodies(docs)
+    return each_block(terms, lambda asked: scored(body, asked, bm25_score(asked, stats(body, asked), k1, b), ["score"], best))
 
 
 def top(scores: DataFrame, k: int, group: str = "item_id", item: str = "doc_id") -> DataFrame:
@@ -75,30 +91,15 @@ def top(scores: DataFrame, k: int, group: str = "item_id", item: str = "doc_id")
 @query(f"WITH {SCORES_SQL} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 20")
 def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-BM25: Okapi BM25, ties by document id."""
-    return top(bm25(table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark"))), 20)
+    return top(bm25(table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark")), best=20), 20)
 
 
 EXPECTED_SQL = "expected AS (SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 
 
 def expected(docs: DataFrame, bm: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents that hold the question's text literally.
-
-    What stands between blanks inside a question stands so in a document that
-    holds it: two such words in a row are the key of an equi-join, and the
-    text is compared after it. Questions of fewer than four words have no such
-    key and are compared with all documents, as a set of their own.
-    """
-    q = bm.select("item_id", F.col("text").alias("q"), F.split("text", " ").alias("w"))
-    pair = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1))
-    keyed = q.where(F.size("w") >= 4).select("item_id", "q", pair(F.col("w"), F.lit(2)).alias("key"))
-    d = docs.select("doc_id", "text", F.split("text", " ").alias("w")).where(F.size("w") >= 4)
-    keys = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: pair(F.col("w"), i)))).alias("key"))
-    near = keys.join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    found = near.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("item_id", "q"), "item_id").where(F.contains("text", "q"))
-    short = q.where(F.size("w") < 4).select("item_id", "q")
-    rest = docs.select("doc_id", "text").join(short, F.contains("text", "q"))
-    return found.select("item_id", "doc_id").unionByName(rest.select("item_id", "doc_id"))
+    """(item_id, doc_id): documents that hold the question's text literally."""
+    return containing(docs, bm)
 
 
 @query(
@@ -109,7 +110,7 @@ def expected(docs: DataFrame, bm: DataFrame) -> DataFrame:
 def bm25_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-RANK and AGG-METRICS of BM25: first expected rank up to 20, top-1, top-5, MRR."""
     docs, bm = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    ranked = top(bm25(docs, question_terms(bm)), 20)
+    ranked = top(bm25(docs, question_terms(bm), best=20), 20)
     rank = bm.select("item_id").join(expected(docs, bm).join(ranked, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("rank")), "item_id", "left")
     return rank.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank") <= 5).alias("top5"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
@@ -117,8 +118,20 @@ def bm25_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 GREP_SQL = f"{QUESTIONS_SQL}, {BODY_SQL}, grep AS (SELECT item_id, doc_id, CAST(sum(tf) AS BIGINT) AS matches, CAST(count(*) AS BIGINT) AS distinct_words FROM qt JOIN post USING (term) GROUP BY item_id, doc_id)"
 
 
-def grep_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    return postings(docs, terms).join(terms, "term").groupBy("item_id", "doc_id").agg(F.sum("tf").alias("matches"), F.count(F.lit(1)).alias("distinct_words"))
+def grep_counts(docs: DataFrame, terms: DataFrame, order: list[str], best: int) -> DataFrame:
+    """(item_id, doc_id, matches, distinct_words) of the pairs that can be among the best by the columns of the order."""
+    body, names = bodies(docs), ["matches", "distinct_words"]
+
+    def made(asked: Asked) -> DataFrame:
+        score = grep_score(asked)
+
+        def ordered(held: list[Held], n: int) -> tuple[np.ndarray, ...]:
+            hit, *values = score(held, n)
+            return hit, *[values[names.index(x)] for x in [*order, *(x for x in names if x not in order)]]
+
+        return scored(body, asked, ordered, [*order, *(x for x in names if x not in order)], best, len(order))
+
+    return each_block(terms, made).select("item_id", "doc_id", *[F.col(x).cast("bigint").alias(x) for x in names])
 
 
 def _ranked(df: DataFrame, *order, k: int = 20) -> DataFrame:
@@ -128,14 +141,14 @@ def _ranked(df: DataFrame, *order, k: int = 20) -> DataFrame:
 @query(f"WITH {GREP_SQL} SELECT item_id, doc_id, matches, CAST(row_number() OVER (PARTITION BY item_id ORDER BY matches DESC, doc_id) AS INTEGER) AS rank FROM grep QUALIFY rank <= 20")
 def grep_count_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-GREPRANK (a): by total matches."""
-    counts = grep_counts(table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark")))
+    counts = grep_counts(table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark")), ["matches"], 20)
     return _ranked(counts, F.desc("matches"), "doc_id").select("item_id", "doc_id", "matches", "rank")
 
 
 @query(f"WITH {GREP_SQL} SELECT item_id, doc_id, distinct_words, matches, CAST(row_number() OVER (PARTITION BY item_id ORDER BY distinct_words DESC, matches DESC, doc_id) AS INTEGER) AS rank FROM grep QUALIFY rank <= 20")
 def grep_terms_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-GREPRANK (b): by distinct words, then matches."""
-    counts = grep_counts(table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark")))
+    counts = grep_counts(table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark")), ["distinct_words", "matches"], 20)
     return _ranked(counts, F.desc("distinct_words"), F.desc("matches"), "doc_id").select("item_id", "doc_id", "distinct_words", "matches", "rank")
 
 
@@ -152,8 +165,8 @@ def rrf(lists: DataFrame, c: int = 60) -> DataFrame:
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, terms = table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark"))
-    a = top(bm25(docs, terms), 50).select("item_id", "doc_id", "rank")
-    b = _ranked(grep_counts(docs, terms), F.desc("distinct_words"), F.desc("matches"), "doc_id", k=50).select("item_id", "doc_id", "rank")
+    a = top(bm25(docs, terms, best=50), 50).select("item_id", "doc_id", "rank")
+    b = _ranked(grep_counts(docs, terms, ["distinct_words", "matches"], 50), F.desc("distinct_words"), F.desc("matches"), "doc_id", k=50).select("item_id", "doc_id", "rank")
     return a, b
 
 
@@ -333,29 +346,10 @@ _FSQL = rf"""WITH {FILES_SQL}, {_QSQL},
  sc AS (SELECT item_id, file_id, sum(s) AS s FROM parts GROUP BY ALL)"""
 
 
-def _fielded(spark: SparkSession, sf_dir: str):
-    f = files(spark, sf_dir)
-    q = question_terms(table(spark, sf_dir, "benchmark"))
-    hd = f.select("file_id", tx.words(F.split("text", "\n")[0]).alias("name"), tx.words(F.col("text")).alias("body"))
-    st = hd.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size("name")), F.lit(1.0)).alias("an"), F.greatest(F.avg(F.size("body")), F.lit(1.0)).alias("ab"))
-    sent = sender(q)
-    vocab, asked = sent(q.select("term").distinct()), sent(q)
-
-    def field(name):
-        t = hd.select("file_id", F.size(name).alias("l"), F.explode(name).alias("term")).join(vocab, "term", "left_semi").repartition("file_id")
-        p = t.groupBy("file_id", "l", "term").agg(F.count(F.lit(1)).alias("tf"))
-        d = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(st)).select("term", F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"), "an", "ab")
-        return p, sent(d)
-
-    (np_, nd), (bp, bd) = field("name"), field("body")
-    score = lambda weight, avg: (weight * F.col("idf") * F.col("tf") * 2.4 / (F.col("tf") + 1.4 * (0.25 + 0.75 * F.col("l") / F.col(avg)))).alias("s")
-    named = np_.join(nd, "term").join(asked, "term").select("item_id", "file_id", score(1.0, "an"), F.col("term").alias("seen"), "idf")
-    bodied = bp.join(bd, "term").join(asked, "term").select("item_id", "file_id", score(0.5, "ab"), F.lit(None).cast("string").alias("seen"), F.lit(None).cast("double").alias("idf"))
-    # sums of a field are by file already; the two fields meet as sums
-    parts = named.groupBy("item_id", "file_id").agg(F.sum("s").alias("s")).unionByName(bodied.groupBy("item_id", "file_id").agg(F.sum("s").alias("s")))
-    total = q.join(nd, "term").groupBy("item_id").agg(F.sum("idf").alias("total"))
-    covered = named.groupBy("item_id", "file_id").agg(F.sum("idf").alias("covered"))
-    return f, parts.groupBy("item_id", "file_id").agg(F.sum("s").alias("s")), total, covered
+def _fielded(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, DataFrame]:
+    """Files worded by the fields named (name: the first line, body), and the questions' terms."""
+    fields = {"name": tx.words(F.split("text", "\n")[0]), "body": tx.words(F.col("text"))}
+    return worded(files(spark, sf_dir), "file_id", **{x: fields[x] for x in names}), question_terms(table(spark, sf_dir, "benchmark"))
 
 
 @query(
@@ -365,17 +359,44 @@ def _fielded(spark: SparkSession, sf_dir: str):
 )
 def bm25f_names_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-BM25F: names (first lines) and bodies with their own idf and lengths, times coverage."""
-    _, s, total, covered = _fielded(spark, sf_dir)
-    out = s.join(covered, ["item_id", "file_id"], "left").join(total, "item_id", "left")
-    out = out.select("item_id", "file_id", F.round(F.col("s") * (1 + 2.0 * F.coalesce("covered", F.lit(0.0)) / F.coalesce("total", F.lit(1.0))), 4).alias("score"))
-    return top(out, 10, "item_id", "file_id")
+    f, q = _fielded(spark, sf_dir, "name", "body")
+
+    def made(asked: Asked) -> DataFrame:
+        st = stats(f, asked)
+        weights, means = [idf(st, x) for x in (0, 1)], [max(w / max(1, st.n), 1) for w in st.words]
+        total = asked.total(np.where(st.df[0] > 0, weights[0], 0))
+        total[total == 0] = 1  # no file has a word of the question in its name
+
+        def score(held: list[Held], n: int) -> tuple[np.ndarray, np.ndarray]:
+            parts = [w * rare[h.t] * h.tf * 2.4 / (h.tf + 1.4 * (0.25 + 0.75 * h.length[h.d] / mean)) for h, w, rare, mean in zip(held, (1.0, 0.5), weights, means, strict=True)]
+            s = sum(asked.cells(h.d, h.t, n, part) for h, part in zip(held, parts, strict=True))
+            hit = sum(asked.cells(h.d, h.t, n) for h in held) > 0
+            covered = asked.cells(held[0].d, held[0].t, n, weights[0][held[0].t])
+            return hit, rounded(s * (1 + 2.0 * covered / total), 4)
+
+        return scored(f, asked, score, ["score"], 10)
+
+    return top(each_block(q, made).withColumnRenamed("doc_id", "file_id"), 10, "item_id", "file_id")
 
 
 @query(_FSQL + " SELECT item_id, file_id, round(1 + 2.0 * covered / total, 6) AS multiplier FROM cov JOIN tot USING (item_id)")
 def coverage_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step 6: 1 + 2 * idf-weighted share of the question's terms in a file's identity."""
-    _, _, total, covered = _fielded(spark, sf_dir)
-    return covered.join(total, "item_id").select("item_id", "file_id", F.round(1 + 2.0 * F.col("covered") / F.col("total"), 6).alias("multiplier"))
+    f, q = _fielded(spark, sf_dir, "name")
+
+    def made(asked: Asked) -> DataFrame:
+        st = stats(f, asked)
+        weight = idf(st)
+        total = asked.total(np.where(st.df[0] > 0, weight, 0))
+
+        def score(held: list[Held], n: int) -> tuple[np.ndarray, np.ndarray]:
+            (h,) = held
+            with np.errstate(invalid="ignore", divide="ignore"):  # questions without any word of a name have no hits
+                return asked.cells(h.d, h.t, n) > 0, rounded(1 + 2.0 * asked.cells(h.d, h.t, n, weight[h.t]) / total, 6)
+
+        return scored(f, asked, score, ["multiplier"])
+
+    return each_block(q, made).withColumnRenamed("doc_id", "file_id")
 
 
 @query(
@@ -421,16 +442,27 @@ def profile_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def web_bm25f(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-WEB: titles at three times the weight of prose, k1 = 1.2, b = 0.5."""
     q = question_terms(table(spark, sf_dir, "benchmark"))
-    p = table(spark, sf_dir, "pages").select("page_id", tx.words(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"), tx.words(F.regexp_replace("html", "<[^>]*>", " ")).alias("b"))
-    length = p.select("page_id", (3.0 * F.size("t") + F.size("b")).alias("l")).where("l > 0")
-    st = length.agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("al"))
-    f = p.select("page_id", F.lit(3.0).alias("w"), F.explode("t").alias("term")).unionByName(p.select("page_id", F.lit(1.0).alias("w"), F.explode("b").alias("term")))
-    sent = sender(q)
-    tf = f.join(sent(q.select("term").distinct()), "term", "left_semi").repartition("page_id").groupBy("page_id", "term").agg(F.sum("w").alias("tf"))
-    d = sent(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.5 + 0.5 * F.col("l") / F.col("al")))
-    s = tf.join(d, "term").join(sent(q), "term").join(length, "page_id").crossJoin(F.broadcast(st)).groupBy("item_id", "page_id").agg(F.round(F.sum(part), 4).alias("score"))
-    return top(s, 5, "item_id", "page_id")
+    p = worded(table(spark, sf_dir, "pages"), "page_id", title=tx.words(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), prose=tx.words(F.regexp_replace("html", "<[^>]*>", " ")))
+    p = p.where("l_title + l_prose > 0")
+    # a page holds a word in either field: the field of both has the numbers of pages
+    both = p.select("id", "rows", *[F.lit(0).cast("bigint").alias(x) for x in ("l", "total")], F.concat("w_title", "w_prose").alias("w"))
+
+    def made(asked: Asked) -> DataFrame:
+        size, st = stats(p, asked), stats(both, asked)
+        weight, mean = idf(st), (3.0 * size.words[0] + size.words[1]) / max(1, size.n)
+
+        def score(held: list[Held], n: int) -> tuple[np.ndarray, np.ndarray]:
+            title, prose = held
+            key, at = np.unique(np.concatenate([h.d * len(asked.words) + h.t for h in held]), return_inverse=True)
+            d, t = np.divmod(key, max(1, len(asked.words)))
+            tf = np.bincount(at, np.concatenate([3.0 * title.tf, prose.tf]), len(key))
+            length = 3.0 * title.length + prose.length
+            part = weight[t] * tf * 2.2 / (tf + 1.2 * (0.5 + 0.5 * length[d] / mean))
+            return asked.cells(d, t, n) > 0, rounded(asked.cells(d, t, n, part), 4)
+
+        return scored(p, asked, score, ["score"], 5)
+
+    return top(each_block(q, made).withColumnRenamed("doc_id", "page_id"), 5, "item_id", "page_id")
 
 
 @query(
@@ -440,14 +472,18 @@ def web_bm25f(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def confidence_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-CONF: best idf-weighted coverage of a question; below 0.33 there is no answer."""
-    docs, terms = table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark"))
-    post = postings(docs, terms)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    d = F.coalesce("df", F.lit(0))
-    idf = terms.select("term").distinct().join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5)).alias("idf"))
-    weighed = terms.join(idf, "term")
-    total = weighed.groupBy("item_id").agg(F.sum("idf").alias("total"))
-    best = post.join(weighed, "term").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("c")).groupBy("item_id").agg(F.max("c").alias("c"))
+    body = bodies(table(spark, sf_dir, "documents"))
+
+    def made(asked: Asked) -> DataFrame:
+        weight = idf(stats(body, asked))
+        total = spark.createDataFrame(pa.table({"item_id": asked.items, "total": asked.total(weight)}))
+
+        def score(held: list[Held], n: int) -> tuple[np.ndarray, np.ndarray]:
+            (h,) = held
+            return asked.cells(h.d, h.t, n) > 0, asked.cells(h.d, h.t, n, weight[h.t])
+
+        best = scored(body, asked, score, ["c"], 1).groupBy("item_id").agg(F.max("c").alias("c"))
+        return total.join(best, "item_id", "left")
+
     share = F.coalesce("c", F.lit(0.0)) / F.col("total")
-    return total.join(best, "item_id", "left").select("item_id", F.round(share, 6).alias("confidence"), (share < 0.33).alias("abstain"))
+    return each_block(question_terms(table(spark, sf_dir, "benchmark")), made).select("item_id", F.round(share, 6).alias("confidence"), (share < 0.33).alias("abstain"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
-from lorekeep.operators.retrieval import EXPECTED_SQL, SCORES_SQL, bm25, confidence_abstain, expected, postings, question_terms, sender, top
+from lorekeep.operators.retrieval import EXPECTED_SQL, SCORES_SQL, bm25_score, bodies, confidence_abstain, each_block, expected, idf, question_terms, top
+from lorekeep.operators.scan import Asked, Held, scored, stats
 from lorekeep.operators.textops import _FOLD
 from lorekeep.plans.registry import ORACLE_SQL, query
 from lorekeep.sources.tables import FILES_SQL, files, table
@@ -94,17 +97,21 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_hit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HLP-WCOV: idf-weighted share of a question's words that its best hit holds."""
-    docs, terms = table(spark, sf_dir, "documents"), question_terms(table(spark, sf_dir, "benchmark"))
-    sent = sender(terms)
-    post = postings(docs, terms, sent)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    d = F.coalesce("df", F.lit(0))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = terms.select("term").distinct().join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1).alias("idf"))
-    weighed = terms.join(sent(idf), "term")
-    best = sent(top(bm25(docs, terms), 1).select("item_id", "doc_id"))
-    held = post.select("doc_id", "term").join(best, "doc_id").join(weighed, ["item_id", "term"]).groupBy("item_id").agg(F.sum("idf").alias("num"))
-    return weighed.groupBy("item_id").agg(F.sum("idf").alias("den")).join(held, "item_id", "left").select("item_id", F.round(F.coalesce("num", F.lit(0.0)) / F.col("den"), 6).alias("coverage"))
+    body = bodies(table(spark, sf_dir, "documents"))
+
+    def made(asked: Asked) -> DataFrame:
+        st = stats(body, asked)
+        weight, ranked = idf(st), bm25_score(asked, st)
+        den = spark.createDataFrame(pa.table({"item_id": asked.items, "den": asked.total(weight)}))
+
+        def score(held: list[Held], n: int) -> tuple[np.ndarray, ...]:
+            hit, s = ranked(held, n)
+            return hit, s, asked.cells(held[0].d, held[0].t, n, weight[held[0].t])
+
+        best = top(scored(body, asked, score, ["score", "num"], 1), 1).select("item_id", "num")
+        return den.join(best, "item_id", "left")
+
+    return each_block(question_terms(table(spark, sf_dir, "benchmark")), made).select("item_id", F.round(F.coalesce("num", F.lit(0.0)) / F.col("den"), 6).alias("coverage"))
 
 
 THRESHOLDS = [k / 10 for k in range(1, 10)]

@@ -200,7 +200,7 @@ def greedy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-PCT: nearest-rank percentile and median of the first expected ranks."""
     docs, bm = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    hit = expected(docs, bm).join(top(bm25(docs, question_terms(bm)), 20), ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("rank"))
+    hit = expected(docs, bm).join(top(bm25(docs, question_terms(bm), best=20), 20), ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("rank"))
     return hit.agg(F.count(F.lit(1)).alias("found"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY rank)").cast("bigint").alias("p95_rank"), F.median("rank").alias("median_rank"))
 
 
@@ -212,9 +212,9 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-RECALL: share of the expected documents within the first k, mean over questions."""
     docs, bm = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     want = expected(docs, bm)
-    ranks = want.join(top(bm25(docs, question_terms(bm)), 20), ["item_id", "doc_id"], "left")
+    ranks = want.join(top(bm25(docs, question_terms(bm), best=20), 20), ["item_id", "doc_id"], "left")
     ks = (1, 5, 10, 20)
-    per = ranks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks])
+    per = ranks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.when(F.col("rank") <= k, F.col("doc_id"))).alias(f"h{k}") for k in ks])
     means = per.agg(*[F.round(F.avg(F.col(f"h{k}") / F.col("n")), 6).alias(f"r{k}") for k in ks])
     return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in ks])).alias("x")).select("x.k", "x.recall")
 
@@ -226,8 +226,8 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-TOK: tokens read before the first expected document is reached."""
     docs, bm = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    ranked = top(bm25(docs, question_terms(bm)), 20).join(docs.select("doc_id", "n_chars"), "doc_id")
-    used = ranked.withColumn("tokens", F.sum(F.ceil(F.col("n_chars") / 40)).over(Window.partitionBy("item_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = top(bm25(docs, question_terms(bm), best=20), 20).join(docs.select("doc_id", "n_chars"), "doc_id")
+    used = ranked.withColumn("tokens", F.sum(F.ceil(F.col("n_chars") / 40)).over(Window.partitionBy("item_id").orderBy("rank").rangeBetween(Window.unboundedPreceding, 0)))
     return used.join(expected(docs, bm), ["item_id", "doc_id"], "left_semi").groupBy("item_id").agg(F.min("tokens").cast("bigint").alias("tokens_to_first"))
 
 

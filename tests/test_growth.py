@@ -1,13 +1,15 @@
 """Ties, and steps whose sorts, tables or exchanges must not grow beyond their input."""
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
-from lorekeep.operators import retrieval
+from lorekeep.operators import retrieval, scan
 from lorekeep.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -37,3 +39,38 @@ def test_nearest_in_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(retrieval, "VECTORS", 60)
     monkeypatch.setattr(retrieval, "ASKING", 3)
     against_sql(spark, tmp_path, "dense_knn", ["embeddings"])
+
+
+SCORED = ["abstention_curve", "best_hit_coverage", "bm25_eval", "bm25_top20", "bm25f_names_body", "confidence_abstain", "coverage_multiplier", "grep_count_rank", "grep_terms_rank", "percentiles", "recall_at_k", "rerank20", "rrf_fusion", "tokens_to_first", "web_bm25f"]
+
+
+@pytest.fixture(scope="module")
+def asked(tmp_path_factory):
+    """Questions and documents of few words: many ties, null texts, short and absent questions, an id on two equal rows."""
+    d, rng = tmp_path_factory.mktemp("asked"), random.Random(8)
+    words = ["Été", "straße", "x9", "the", "fox", "42", "Ωmega", "naïve", "a", "b", "c"]
+    said = lambda n: rng.choice([" ", "-", "\n"]).join(rng.choice(words) for _ in range(n))
+    texts = [said(rng.randrange(1, 30)) for _ in range(150)] + [None, "", "one\ntwo"] * 2
+    questions = [said(rng.randrange(1, 8)).replace("\n", " ") for _ in range(25)] + ["zzz yyy", "zzz the yyy xxx qqq"]
+    texts += [f"{said(3)} {q} {said(2)}" for q in questions[::3]]
+    texts.append(texts[7])
+    ids = [*range(len(texts) - 1), 7]
+    pq.write_table(pa.table({"doc_id": pa.array(ids), "text": texts, "lang": ["en"] * len(ids), "source": ["s"] * len(ids), "n_chars": pa.array([len(t or "") for t in texts])}), d / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array(range(len(questions))), "text": questions}), d / "benchmark.parquet")
+    pages = [f"<title>{said(2)}</title><p>{said(9)}</p>" for _ in range(40)] + ["<p></p>"]
+    pq.write_table(pa.table({"page_id": pa.array(range(len(pages))), "html": pages}), d / "pages.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", SCORED)
+def test_questions_in_blocks_and_batches(spark, asked, monkeypatch, name):
+    monkeypatch.setattr(scan, "SENT", 40)
+    monkeypatch.setattr(scan, "CELLS", 64)
+    against_sql(spark, asked, name, ["documents", "benchmark", "pages"])
+
+
+def test_only_the_best_of_a_task_are_exchanged(spark, sf):
+    docs, q = spark.read.parquet(f"{sf}/documents.parquet"), retrieval.question_terms(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    found = retrieval.bm25(docs, q, best=3)
+    assert max(Counter((r.item_id) for r in found.collect()).values()) <= 3 * found.rdd.getNumPartitions()
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
