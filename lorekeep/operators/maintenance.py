@@ -126,10 +126,30 @@ def registry_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def quota_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-QUOTA: requests of a provider within the last hour against its quota."""
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-3600000000, 0)
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    n = F.count(F.lit(1)).over(w)
-    return e.select("event_id", n.alias("in_window"), (n <= 5).alias("allowed"))
+    return in_window(e, 3600000000).select("event_id", "in_window", (F.col("in_window") <= 5).alias("allowed"))
+
+
+#: Microseconds of a stretch of time whose events are counted by one task.
+STRETCH = 60_000_000
+
+
+def in_window(e: DataFrame, width: int) -> DataFrame:
+    """(event_id, in_window): events of the type at most `width` earlier, of (event_id, event_type, us).
+
+    An event counts from its own time on until the window has passed. The
+    running sum of what comes and goes is made in short stretches, and what
+    stood at the start of a stretch is added. Events without a time count each other.
+    """
+    comes = e.select("event_id", "event_type", "us", F.lit(1).alias("step"))
+    goes = e.where("us IS NOT NULL").select(F.lit(None).cast(e.schema["event_id"].dataType).alias("event_id"), "event_type", (F.col("us") + width + 1).alias("us"), F.lit(-1).alias("step"))
+    steps = comes.unionByName(goes).withColumn("stretch", F.floor(F.col("us") / STRETCH))
+    before = Window.partitionBy("event_type").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    start = steps.where("stretch IS NOT NULL").groupBy("event_type", "stretch").agg(F.sum("step").alias("sum")).select(F.col("event_type").alias("t"), F.col("stretch").alias("s"), F.sum("sum").over(before).alias("start"))
+    within = F.sum("step").over(Window.partitionBy("event_type", "stretch").orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
+    counted = steps.withColumn("n", within).where("step = 1")
+    found = counted.join(start, F.col("event_type").eqNullSafe(F.col("t")) & (F.col("stretch") == F.col("s")), "left")
+    return found.select("event_id", (F.col("n") + F.coalesce("start", F.lit(0))).alias("in_window"))
 
 
 @query(

@@ -2,14 +2,17 @@
 
 import random
 from collections import Counter
+from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from lorekeep.operators import retrieval, scan
+from lorekeep.functions import text as tx
+from lorekeep.operators import graph, retrieval, scan
 from lorekeep.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -74,3 +77,13 @@ def test_only_the_best_of_a_task_are_exchanged(spark, sf):
     found = retrieval.bm25(docs, q, best=3)
     assert max(Counter((r.item_id) for r in found.collect()).values()) <= 3 * found.rdd.getNumPartitions()
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_in_stretches(spark, tmp_path):
+    rng, start = random.Random(4), datetime(2024, 1, 1)
+    ts = [start + timedelta(seconds=rng.choice([0, 1, 59, 60, 3600, 3601, 7200]) + rng.randrange(3), microseconds=rng.choice([0, 1])) for _ in range(400)] + [None] * 3
+    kinds = [rng.choice(["a", "b", None]) for _ in ts]
+    pq.write_table(pa.table({"event_id": pa.array(range(len(ts))), "event_type": kinds, "ts": pa.array(ts, pa.timestamp("us"))}), tmp_path / "events.parquet")
+    against_sql(spark, tmp_path, "quota_window", ["events"])
+    plan = QUERIES["quota_window"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "-3600000000" not in plan  # no frame that is gone through again for each row
