@@ -18,10 +18,14 @@ from lorekeep.sources.tables import table
 EDGES_SQL = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def links_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lineitem row is a link."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links_of(spark, sf_dir).distinct()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def bfs(links: DataFrame, seeds: DataFrame, depth: int, cap: int | None = None)
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
-        step = links.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        step = links.join(sent(front.select(F.col("node").alias("src"))), "src").select(F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
@@ -52,6 +56,15 @@ def bfs(links: DataFrame, seeds: DataFrame, depth: int, cap: int | None = None)
     return seen.orderBy("depth", "node").limit(cap) if cap else seen
 
 
+#: Most nodes that are sent to all tasks; the links of more nodes are exchanged.
+SENT = 1_000_000
+
+
+def sent(nodes: DataFrame) -> DataFrame:
+    """A table of nodes, sent to all tasks where these are few, as counted: links then stay where they are read."""
+    return F.broadcast(nodes) if nodes.limit(SENT + 1).count() <= SENT else nodes
+
+
 def both_ways(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
@@ -63,7 +76,7 @@ def both_ways(e: DataFrame) -> DataFrame:
 )
 def impact_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-IMPACT: what a change reaches within three steps, with the first depth."""
-    return bfs(both_ways(edges(spark, sf_dir)), spark.createDataFrame([("s1",)], "node string"), 3)
+    return bfs(both_ways(links_of(spark, sf_dir)), spark.createDataFrame([("s1",)], "node string"), 3)
 
 
 @query(
@@ -75,14 +88,14 @@ def impact_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-PATH: a shortest path between two nodes; the smallest parent wins ties."""
-    links = both_ways(edges(spark, sf_dir))
+    links = both_ways(links_of(spark, sf_dir))
     reached = bfs(links, spark.createDataFrame([("s1",)], "node string"), 4)
-    up = reached.select(F.col("node").alias("src"), F.col("depth").alias("up"))
-    parents = cut(links.join(up, "src").join(reached.withColumnRenamed("node", "dst"), "dst").where("up = depth - 1").groupBy("dst").agg(F.min("src").alias("parent")))
     step = reached.where("node = 's7'").select("node", F.col("depth").alias("step"))
     path = step
     for _ in range(4):
-        step = cut(step.join(parents, step["node"] == parents["dst"]).select(F.col("parent").alias("node"), (F.col("step") - 1).alias("step")))
+        # of the node reached last (one row), the smallest neighbour a step nearer
+        near = links.join(F.broadcast(step.select(F.col("node").alias("dst"), "step")), "dst").select(F.col("src").alias("node"), F.col("step") - 1).distinct()
+        step = cut(near.toDF("node", "step").join(reached, "node").where("depth = step").groupBy("step").agg(F.min("node").alias("node")).select("node", "step"))
         path = path.unionByName(step)
     return path
 

@@ -87,3 +87,12 @@ def test_windows_in_stretches(spark, tmp_path):
     against_sql(spark, tmp_path, "quota_window", ["events"])
     plan = QUERIES["quota_window"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "-3600000000" not in plan  # no frame that is gone through again for each row
+
+
+def test_links_of_few_nodes_stay_where_they_are_read(spark, sf, tmp_path, monkeypatch):
+    joined = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: joined.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    want = sorted(map(tuple, QUERIES["shortest_path"](spark, sf).collect()))
+    assert sum("strategy=broadcast" in p for p in joined) >= 4
+    monkeypatch.setattr(graph, "SENT", 0)
+    assert sorted(map(tuple, QUERIES["shortest_path"](spark, sf).collect())) == want
