@@ -217,13 +217,17 @@ def innermost(marks: DataFrame, spans: DataFrame) -> DataFrame:
 def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-HUNK: symbols that changed line ranges touch, without those that hold another touched one."""
     marks, spans = _spans(spark, sf_dir)
-    binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.col("last") / BIN))))
-    hunks = marks.selectExpr("mark", "file", "line a", "line + 6 b").withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor(F.col("b") / BIN))))
-    # (mark, file, a) is the hunk: order and line number do not tell all rows apart
-    h = hunks.join(binned, ["file", "bin"]).where("first <= b AND last >= a").select("mark", "file", "a", "sym", "first", "last").distinct()
-    i = h.select(F.col("mark").alias("m"), F.col("file").alias("g"), F.col("a").alias("o"), F.col("sym").alias("s"), F.col("first").alias("f"), F.col("last").alias("l"))
-    holds = (F.col("m") == F.col("mark")) & (F.col("g") == F.col("file")) & (F.col("o") == F.col("a")) & (F.col("s") != F.col("sym")) & (F.col("f") >= F.col("first")) & (F.col("l") <= F.col("last")) & (F.col("l") - F.col("f") < F.col("last") - F.col("first"))
-    return h.join(i, holds, "left_anti").select("mark", "sym").distinct()
+    bin_of = lambda c: F.floor(F.col(c) / BIN)
+    # which symbols count depends on file and lines alone: hunks that share them are looked up once
+    hunks = marks.selectExpr("file", "line a").distinct()
+    binned = spans.withColumn("bin", F.explode(F.sequence(bin_of("first"), bin_of("last"))))
+    asked = hunks.withColumn("bin", F.explode(F.sequence(bin_of("a"), F.floor((F.col("a") + 6) / BIN))))
+    # a hunk and a symbol meet in the first bin that both have
+    met = asked.join(binned, ["file", "bin"]).where(F.col("bin") == F.greatest(bin_of("a"), bin_of("first"))).where("first <= a + 6 AND last >= a")
+    h = met.groupBy("file", "a").agg(F.collect_set(F.struct("sym", "first", "last")).alias("h"))
+    holds = lambda x, i: (i["sym"] != x["sym"]) & (i["first"] >= x["first"]) & (i["last"] <= x["last"]) & (i["last"] - i["first"] < x["last"] - x["first"])
+    kept = h.select("file", F.col("a").alias("line"), F.transform(F.filter("h", lambda x: ~F.exists("h", lambda i: holds(x, i))), lambda x: x["sym"]).alias("syms"))
+    return marks.join(kept, ["file", "line"]).select("mark", F.explode("syms").alias("sym")).distinct()
 
 
 @query(

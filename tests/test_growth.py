@@ -96,3 +96,12 @@ def test_links_of_few_nodes_stay_where_they_are_read(spark, sf, tmp_path, monkey
     assert sum("strategy=broadcast" in p for p in joined) >= 4
     monkeypatch.setattr(graph, "SENT", 0)
     assert sorted(map(tuple, QUERIES["shortest_path"](spark, sf).collect())) == want
+
+
+def test_hunks_that_share_lines_are_looked_up_once(spark, tmp_path):
+    rng, n = random.Random(6), 300
+    pq.write_table(pa.table({"l_orderkey": pa.array([rng.randrange(40) for _ in range(n)]), "l_linenumber": pa.array([rng.randrange(1, 8) for _ in range(n)], pa.int32()), "l_suppkey": pa.array([rng.randrange(4) for _ in range(n)]), "l_partkey": pa.array([rng.randrange(500) for _ in range(n)])}), tmp_path / "lineitem.parquet")
+    pq.write_table(pa.table({"o_orderkey": pa.array(range(n)), "o_custkey": pa.array([rng.randrange(5) for _ in range(n)])}), tmp_path / "orders.parquet")
+    against_sql(spark, tmp_path, "hunk_overlap", ["lineitem", "orders"])
+    plan = QUERIES["hunk_overlap"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
