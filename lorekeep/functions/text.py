@@ -59,6 +59,21 @@ def stem(c: Column) -> Column:
     return F.when(c.rlike("^[a-z]{5,}$"), out).otherwise(c)
 
 
+def stem_word(w: str) -> str:
+    """stem() of one word of ASCII letters."""
+    if len(w) < 5:
+        return w
+    if w.endswith("ies"):
+        w = w[:-3] + "y"
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    for suffix, least in SUFFIXES:
+        if w.endswith(suffix) and len(w) >= least + len(suffix):
+            w = w[: -len(suffix)]
+            return w[:-1] if suffix in ("ing", "ed", "er") and w[-2:] in ("bb", "dd", "gg", "ll", "mm", "nn", "pp", "rr", "tt") else w
+    return w[:-1] if w.endswith("e") and len(w) >= 5 else w
+
+
 def stem_sql(x: str) -> str:
     base = f"(CASE WHEN regexp_matches({x}, 'ies$') THEN regexp_replace({x}, 'ies$', 'y') WHEN regexp_matches({x}, '[^s]s$') THEN regexp_replace({x}, 's$', '') ELSE {x} END)"
     whens = []

@@ -79,6 +79,19 @@ def test_only_the_best_of_a_task_are_exchanged(spark, sf):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stems_by_word(spark):
+    words = ["ponies", "classes", "running", "stopped", "bigger", "bed", "making", "nations", "organization", "darkness", "ties", "abbess", "loving", "house", "cities", "quickly", "wiser", "tree", "pssst", "hopped", "eding", "ionment"]
+    words += [a + b for a in ("mat", "runn", "abcd", "ll") for b in ("ies", "s", "ing", "ed", "er", "ity", "ation", "tion", "ments", "e", "ly")]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", tx.stem(F.col("w")).alias("s"))
+    assert {r.w: r.s for r in df.collect()} == {w: tx.stem_word(w) for w in words}
+
+
+def test_bags_are_counted_where_documents_are_read(spark, asked):
+    against_sql(spark, asked, "body_terms", ["documents"])
+    plan = QUERIES["body_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_windows_in_stretches(spark, tmp_path):
     rng, start = random.Random(4), datetime(2024, 1, 1)
     ts = [start + timedelta(seconds=rng.choice([0, 1, 59, 60, 3600, 3601, 7200]) + rng.randrange(3), microseconds=rng.choice([0, 1])) for _ in range(400)] + [None] * 3
